@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import names
+from tabloom.llm import lookalike, lookup, mixing, names, tokens
 from tabloom.session import table
 
+CELLS = [f"c{k}" for k in range(14)]
+
 
 def _read_names(spark: SparkSession, d: str) -> DataFrame:
     return names.read_names(table(spark, d, "party_names"), "party_row_id", "name_typed", "party_kind", "birth_text", "place_name", "reg_code")
@@ -19,5 +21,50 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return names.linked_pairs(*names.link_spellings(_read_names(spark, d)))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found,)}
+def _typed(spark: SparkSession, d: str) -> DataFrame:
+    df = table(spark, d, "decisions").select("decision_id", "entity_key", "header", "prop")
+    return df.unpivot(["decision_id", "entity_key"], ["header", "prop"], "field_name", "typed")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    got = lookup.map_to_catalogue(_typed(spark, d), "typed", "entity_key", table(spark, d, "prop_catalogue"), ["decision_id", "field_name"])
+    return got.select("decision_id", "field_name", "qname")
+
+
+def p5_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """How often each unmatched value was typed."""
+    got = lookup.map_to_catalogue(_typed(spark, d), "typed", "entity_key", table(spark, d, "prop_catalogue"), ["field_name", "typed"])
+    return got.where(F.col("qname") == lookup.UNMATCHED).groupBy("field_name", "typed").agg(F.count(F.lit(1)).alias("n"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    rows, columns = table(spark, d, "frame_rows"), table(spark, d, "frame_columns")
+    frequency = lookalike.frequencies(lookalike.code_point_counts(rows, CELLS), lookalike.code_point_counts(columns, ["header"]))
+    cells = rows.select("row_id", *CELLS).unpivot(["row_id"], CELLS, "column_id", "text")
+    cells = cells.select(F.concat(F.lit("frame_rows."), "column_id").alias("field_name"), F.col("row_id").alias("row_key"), "text")
+    headers = columns.select(F.lit("frame_columns.header").alias("field_name"), F.col("column_key").alias("row_key"), F.col("header").alias("text"))
+    return lookalike.rewritten(cells.unionByName(headers), "text", ["field_name", "row_key"], frequency)
+
+
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode_texts(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("row_id", "doc_id")
+
+
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    counts = tokens.token_counts(table(spark, d, "documents"), "doc_id", "text", ["doc_id", "source"])
+    return mixing.sized(counts, "doc_id", "source")
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    sizes = _sizes(spark, d)
+    return mixing.mix(sizes, mixing.plan_mix(sizes, table(spark, d, "mix_targets")))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(p9_mix(spark, d), table(spark, d, "mix_targets"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (p4_found, p5_found, p5_unmatched, p7_found, p8_ids, p9_mix, p9_shares)
+}
 ORACLE: dict[str, str] = {}
