@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import lookalike, lookup, mixing, names, tokens
+from tabloom.llm import lookalike, lookup, mixing, names, tokens, toxicity
 from tabloom.session import table
 
 CELLS = [f"c{k}" for k in range(14)]
@@ -64,7 +64,22 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(p9_mix(spark, d), table(spark, d, "mix_targets"))
 
 
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    model = toxicity.fit_corpus(documents, table(spark, d, "doc_labels"))
+    return toxicity.score_documents(documents, model, ["doc_id", "source"])
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    long = p10_scores(spark, d).unpivot(["doc_id"], list(toxicity.CATEGORIES), "category", "found")
+    return long.where("found").select("doc_id", "category")
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.rates(p10_scores(spark, d))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p4_found, p5_found, p5_unmatched, p7_found, p8_ids, p9_mix, p9_shares)
+    f.__name__: f for f in (p4_found, p5_found, p5_unmatched, p7_found, p8_ids, p9_mix, p9_shares, p10_found, p10_scores, p10_rates)
 }
 ORACLE: dict[str, str] = {}

@@ -37,9 +37,10 @@ CATEGORIES = ("abusive", "hateful", "sexual")
 #: Bound of the sample of labelled documents that the scores are fitted on.
 MOST_LABELLED = 50_000
 #: Weight of the prior, in tokens; rounds of passage finding; expected false passages in a document.
-PRIOR, ROUNDS, EXPECTED = 40.0, 4, 0.01
+#: Pairs overlap their words, so that an expectation is some orders too small; the bound allows for it.
+PRIOR, ROUNDS, EXPECTED = 40.0, 4, 1e-4
 #: A word is scored from so many labelled documents on; what every token costs; score that a passage needs in fitting.
-LEAST_DOCUMENTS, DRIFT, SURE = 2, 0.4, 3.0
+LEAST_DOCUMENTS, DRIFT, SURE = 2, 0.7, 5.0
 #: A token without evidence costs a passage so much.
 UNSEEN = -1.0
 #: Scores stay within these.
@@ -57,7 +58,9 @@ def _plain(word: str) -> str:
     """A word without stretched letters and with letters for the digits and signs that stand for some."""
     if word.isalpha():
         return _LONG.sub(r"\1", word)
-    if word.isdigit() or "*" in word:
+    if word.isdigit():
+        return "#"
+    if "*" in word:
         return word
     letters = sum(map(str.isalpha, word))
     others = len(word) - letters
@@ -76,6 +79,14 @@ def tokens_of(text: str | None) -> list[str]:
     return [w for w in map(_plain, _TOKEN.findall(text)) if w]
 
 
+def with_pairs(words: list[str]) -> list[str]:
+    """The words with every pair of neighbours between its two words; a pair that is unknown costs nothing."""
+    out = words[:1]
+    for a, b in zip(words, words[1:], strict=False):
+        out += (f"{a} {b}", b)
+    return out
+
+
 @dataclass
 class Model:
     """Scores by category, and the calibration of each."""
@@ -103,7 +114,9 @@ class Model:
         found: list[list[float]] = []  # start, end, sum before, sum after
         total = 0.0
         for i, w in enumerate(words):
-            s = known.get(w, UNSEEN)
+            s = known.get(w)
+            if s is None:
+                s = 0.0 if " " in w else UNSEEN
             before, total = total, total + s
             if s <= 0:
                 continue
@@ -124,7 +137,7 @@ class Model:
 
     def judge(self, text: str | None) -> dict[str, tuple[float, int, int, int]]:
         """Per category: -log10 of the least expectation, its passage (in tokens), passages below ``EXPECTED``."""
-        words = self.resolve(tokens_of(text))
+        words = with_pairs(self.resolve(tokens_of(text)))
         out = {}
         for c in self.scores:
             best, at, many = 0.0, (0, 0), 0
@@ -134,7 +147,7 @@ class Model:
                 value = -math.log10(max(e, 1e-300))
                 if value > best:
                     best, at = value, (a, b)
-            out[c] = (best, *at, many)
+            out[c] = (best, at[0] // 2, (at[1] + 1) // 2, many)
         return out
 
 
@@ -175,7 +188,7 @@ def _root(histogram: Counter) -> float:
 def fit(labelled: list[tuple[str, frozenset[str]]], corpus: dict[str, int], categories: tuple[str, ...] = CATEGORIES, rounds: int = ROUNDS) -> Model:
     """A model of labelled texts and the corpus's token counts."""
     model = Model()
-    docs = [(tokens_of(t), k) for t, k in labelled]
+    docs = [(with_pairs(tokens_of(t)), k) for t, k in labelled]
     clean = [d for d, k in docs if not k & set(categories)]
     own = {c: [d for d, k in docs if k & set(categories) == {c}] for c in categories}
     seen_in = Counter(w for d, _ in docs for w in set(d))
@@ -188,12 +201,12 @@ def fit(labelled: list[tuple[str, frozenset[str]]], corpus: dict[str, int], cate
             if n >= LEAST_DOCUMENTS:
                 p, q = (n - 1) / (len(own[c]) + 1), (rest[w] + 1) / (len(clean) + 2)
                 model.scores[c][w] = max(LEAST, min(MOST, math.log(p / q))) - DRIFT
+    ceiling = {c: dict(model.scores[c]) for c in categories}
     for _ in range(rounds):
         within = {c: Counter() for c in categories}
         outside = Counter(w for d in clean for w in d)
         for c in categories:
             for d in own[c]:
-                d = model.resolve(d)
                 best = max(model.passages(d, c), key=lambda x: x[2], default=(0, 0, 0.0))
                 a, b = (best[0], best[1]) if best[2] > SURE else (0, 0)
                 within[c].update(d[a:b])
@@ -202,6 +215,8 @@ def fit(labelled: list[tuple[str, frozenset[str]]], corpus: dict[str, int], cate
         for c in categories:
             others = [outside] + [within[x] for x in categories if x != c and within[x]]
             scores[c] = log_odds(within[c], others, corpus, seen_in) if within[c] else {}
+            # What whole documents don't bear out, a passage can't: ordinary sentences beside a passage stay out.
+            scores[c] = {w: min(x, ceiling[c].get(w, 0.0 if " " in w else UNSEEN)) for w, x in scores[c].items()}
         model.scores = scores
         model.starred = {}
         for c in categories:
@@ -220,11 +235,11 @@ def _calibrate(model: Model, c: str, corpus: dict[str, int], clean: list[list[st
     """lambda from the corpus's token distribution, K from the best passages of documents without the category."""
     histogram = Counter()
     for w, n in corpus.items():
-        histogram[round(model.scores[c].get(w, UNSEEN), 2)] += n
+        histogram[round(model.scores[c].get(w, 0.0 if " " in w else UNSEEN), 2)] += n
     scale = min(2.0, _root(histogram))
     best = []
     for d in clean:
-        s = max((x[2] for x in model.passages(model.resolve(d), c)), default=0.0)
+        s = max((x[2] for x in model.passages(d, c)), default=0.0)
         if d:
             best.append(s - math.log(len(d)) / scale)
     # Mean of a Gumbel variable: location + 0.5772 / lambda. Labels have mistakes; the upper hundredth is left out.
@@ -236,14 +251,14 @@ def _calibrate(model: Model, c: str, corpus: dict[str, int], clean: list[list[st
 
 
 def corpus_counts(documents: DataFrame, text: str, vocabulary: set[str]) -> dict[str, int]:
-    """How often each word of the vocabulary occurs in all documents; other words as ''. One shuffle of partial sums."""
+    """How often each word of the vocabulary occurs in all documents; other words as '', other pairs as a blank. One shuffle of partial sums."""
     known = documents.sparkSession.sparkContext.broadcast(frozenset(vocabulary))  # of the bounded sample
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: Counter = Counter()
         for pdf in batches:
             for t in pdf["text"]:
-                counts.update(w if w in known.value else "" for w in tokens_of(t))
+                counts.update(w if w in known.value else " " if " " in w else "" for w in with_pairs(tokens_of(t)))
         yield pd.DataFrame({"word": list(counts), "n": list(counts.values())})
 
     parts = map_batches(documents.select(F.col(text).alias("text")), run, "word string, n long")
@@ -255,7 +270,7 @@ def fit_corpus(documents: DataFrame, labels: DataFrame, row_id: str = "doc_id",
     by_doc = labels.groupBy(row_id).agg(F.collect_set("category").alias("categories"))
     sample = documents.select(row_id, text).join(by_doc, row_id).orderBy(F.xxhash64(row_id)).limit(most)
     labelled = [(r[text], frozenset(r["categories"])) for r in sample.collect() if r[text]]
-    vocabulary = {w for t, _ in labelled for w in tokens_of(t)}
+    vocabulary = {w for t, _ in labelled for w in with_pairs(tokens_of(t))}
     return fit(labelled, corpus_counts(documents, text, vocabulary))
 
 
