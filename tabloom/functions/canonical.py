@@ -67,6 +67,11 @@ def register(type_name: str, build: Callable[..., Column]) -> None:
     _registry[type_name] = build
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _pair(value: Column, reason: Column | str) -> Column:
     reason = F.lit(reason) if isinstance(reason, str) else reason
     return F.struct(value.cast("string").alias("value"), F.when(value.isNull(), reason).alias("reason"))
@@ -89,31 +94,41 @@ _MONTHS = "JAN FEB MAR APR MAY JUN JUL AUG SEP OCT NOV DEC"
 
 def date(v: Column, numeric: Column | None = None) -> Column:
     """Days as yyyy-MM-dd, moments as UTC wall time; bare numbers only where the column's evidence allows."""
-    y2 = _group(v, _DAY_FIRST, 3)
-    full = F.when(F.length(y2) == 2, F.concat(F.when(y2 >= "30", "19").otherwise("20"), y2)).otherwise(y2)
-    month = F.coalesce(_group(v, _ISO_DAY, 2), _group(v, _DAY_FIRST, 2))
-    day = F.coalesce(_group(v, _ISO_DAY, 3), _group(v, _DAY_FIRST, 1))
-    swap = (month.cast("int") > 12) & (day.cast("int") <= 12)
-    plain = _date_text(F.coalesce(_group(v, _ISO_DAY, 1), full), F.when(swap, day).otherwise(month), F.when(swap, month).otherwise(day))
-    number = F.instr(F.lit(_MONTHS), F.upper(_group(v, _MONTH_NAME, 2)))
-    named = F.when(number % 4 == 1, _date_text(_group(v, _MONTH_NAME, 3), ((number + 3) / 4).cast("int").cast("string"), _group(v, _MONTH_NAME, 1)))
-    day_text = F.coalesce(plain, named)
-    real_day = F.when(F.try_to_date(day_text, "yyyy-MM-dd").isNotNull() & ~day_text.startswith("0000"), day_text)
-    zone = F.coalesce(_group(v, _ISO_TIME, 7), F.lit("Z"))
-    digits = F.regexp_replace(F.substring(zone, 2, 9), ":", "")
-    minutes = F.substring(digits, 1, 2).try_cast("int") * 60 + F.coalesce(F.substring(digits, 3, 2).try_cast("int"), F.lit(0))
-    shift = F.when(zone == "Z", 0).when(zone.startswith("-"), -minutes).otherwise(minutes)
-    wall = F.concat(F.substring(v, 1, 10), F.lit(" "), _group(v, _ISO_TIME, 4), F.lit(":"), _group(v, _ISO_TIME, 5), F.lit(":"), F.coalesce(_group(v, _ISO_TIME, 6), F.lit("00")))
-    moment = F.date_format(wall.try_cast("timestamp_ntz") - F.make_dt_interval(F.lit(0), F.lit(0), shift), "yyyy-MM-dd'T'HH:mm:ss")
-    moment = F.when(v.rlike(_ISO_TIME) & ~v.startswith("0000"), moment)
-    written = F.coalesce(real_day, moment)
-    reason: Column = F.when(v.rlike("|".join((_ISO_DAY, _ISO_TIME, _DAY_FIRST, _MONTH_NAME))), "not a real date").otherwise("no date form")
-    if numeric is not None:
-        n = v.try_cast("int")
-        year = F.when(v.rlike(r"^\d{4}$") & n.between(1850, 2100), v)
-        serial = F.when(v.rlike(r"^\d{5}$") & n.between(1, 80000), F.date_format(F.date_add(F.to_date(F.lit("1899-12-30")), n), "yyyy-MM-dd"))
-        written = F.coalesce(written, F.when(numeric, F.coalesce(year, serial)))
-    return _pair(written, reason)
+    form = F.when(v.rlike(_ISO_DAY), 1).when(v.rlike(_DAY_FIRST), 2).when(v.rlike(_MONTH_NAME), 3).when(v.rlike(_ISO_TIME), 4)
+
+    def day(kind: Column) -> Column:
+        parts = F.split(v, r"[./-]")
+        a, b, c = (F.get(parts, F.lit(k)) for k in range(3))
+        year = F.when(kind == 1, a).when(F.length(c) == 2, F.concat(F.when(c >= "30", "19").otherwise("20"), c)).otherwise(c)
+        number = F.instr(F.lit(_MONTHS), F.upper(F.substring(b, 1, 3)))
+        month = F.when(kind == 3, F.when(number % 4 == 1, ((number + 3) / 4).cast("int").cast("string"))).otherwise(b)
+        first = F.when(kind == 1, c).otherwise(a)
+        swap = (kind != 3) & (month.try_cast("int") > 12) & (first.try_cast("int") <= 12)
+        text = _date_text(year, F.when(swap, first).otherwise(month), F.when(swap, month).otherwise(first))
+        return let(text, lambda t: F.when(F.try_to_date(t, "yyyy-MM-dd").isNotNull() & ~t.startswith("0000"), t))
+
+    def moment(_: Column) -> Column:
+        zone = F.coalesce(_group(v, _ISO_TIME, 7), F.lit("Z"))
+
+        def shifted(z: Column) -> Column:
+            digits = F.regexp_replace(F.substring(z, 2, 9), ":", "")
+            minutes = F.substring(digits, 1, 2).try_cast("int") * 60 + F.coalesce(F.substring(digits, 3, 2).try_cast("int"), F.lit(0))
+            shift = F.when(z == "Z", 0).when(z.startswith("-"), -minutes).otherwise(minutes)
+            wall = F.concat(F.substring(v, 1, 10), F.lit(" "), F.substring(v, 12, 5), F.lit(":"), F.coalesce(_group(v, _ISO_TIME, 6), F.lit("00")))
+            return F.date_format(wall.try_cast("timestamp_ntz") - F.make_dt_interval(F.lit(0), F.lit(0), shift), "yyyy-MM-dd'T'HH:mm:ss")
+
+        return F.when(~v.startswith("0000"), let(zone, shifted))
+
+    def verdict(kind: Column) -> Column:
+        written = F.when(kind == 4, moment(kind)).when(kind.isNotNull(), day(kind))
+        if numeric is not None:
+            n = v.try_cast("int")
+            year = F.when(v.rlike(r"^\d{4}$") & n.between(1850, 2100), v)
+            serial = F.when(v.rlike(r"^\d{5}$") & n.between(1, 80000), F.date_format(F.date_add(F.to_date(F.lit("1899-12-30")), n), "yyyy-MM-dd"))
+            written = F.when(kind.isNull() & numeric, F.coalesce(year, serial)).otherwise(written)
+        return let(written, lambda w: _pair(w, F.when(kind.isNotNull(), "not a real date").otherwise("no date form")))
+
+    return let(form, verdict)
 
 
 def phone(v: Column) -> Column:
@@ -203,51 +218,58 @@ def _scalar(v: Column, type_name: str, numeric: Column | None) -> Column:
     return date(v, numeric) if type_name == "date" and _registry["date"] is date else _registry[type_name](v)
 
 
+def _verdict(ok: Column, text: Column, why: Column, name: Column, refused: Column) -> Column:
+    return F.struct(ok.alias("ok"), text.alias("value"), why.alias("reason"), name.alias("canonicalizer"), refused.cast(REFUSED).alias("refused"))
+
+
 def canonical(value: Column, type_name: str, numeric: Column | None = None) -> Column:
     """The verdict on one cell. ``numeric``: whether the column's bare numbers are dates."""
-    v = X.strip(value)
-    none = F.lit(None).cast(REFUSED)
+    return let(X.strip(value), lambda v: F.when(v != "", _cell(v, type_name, numeric)))
+
 
-    def verdict(ok: Column, text: Column, why: Column, name: Column, refused: Column) -> Column:
-        return F.struct(ok.alias("ok"), text.alias("value"), why.alias("reason"), name.alias("canonicalizer"), refused.alias("refused"))
+def _cell(v: Column, type_name: str, numeric: Column | None) -> Column:
+    none, label = F.lit(None), F.lit("whitespace" if type_name in FREE_TYPES else type_name)
 
-    whole = _scalar(v, type_name, numeric)
-    one = whole["value"]
-    label = "whitespace" if type_name in FREE_TYPES else type_name
-    if type_name in MULTIVALUE:
+    def single(got: Column) -> Column:
+        one = got["value"]
+        if type_name not in MULTIVALUE:
+            return _verdict(one.isNotNull(), one, got["reason"], label, none)
         # A single value that holds the joining character would fall apart later.
-        leaks = one.contains(JOIN)
-        ok, text = one.isNotNull() & ~leaks, F.when(~leaks, one)
-        why = F.when(leaks, "the value holds the joining character").otherwise(whole["reason"])
-    else:
-        ok, text, why = one.isNotNull(), one, whole["reason"]
-    single = verdict(ok, text, why, F.lit(label), none)
+        leaks = F.coalesce(one.contains(JOIN), F.lit(False))
+        why = F.when(leaks, "the value holds the joining character").otherwise(got["reason"])
+        return _verdict(one.isNotNull() & ~leaks, F.when(~leaks, one), why, label, none)
+
+    whole = let(_scalar(v, type_name, numeric), single)
     if type_name not in PACKS:
-        return F.when(v != "", single)
+        return whole
     pattern, every = PACKS[type_name]
-    pieces = F.split(v, pattern)
-    parts = F.filter(pieces, lambda p: p.rlike(r"[\p{L}\p{Nd}]")) if not every else F.filter(pieces, lambda p: p != "")
-    tried = _phones(parts) if type_name == "phone" else F.transform(parts, lambda p: F.struct(p.alias("part"), _scalar(p, type_name, numeric).alias("got")))
-    good = F.transform(F.filter(tried, lambda t: t["got"]["value"].isNotNull() & ~t["got"]["value"].contains(JOIN)), lambda t: t["got"]["value"])
-    bad = F.transform(
-        F.filter(tried, lambda t: t["got"]["value"].isNull() | t["got"]["value"].contains(JOIN)),
-        lambda t: F.struct(t["part"].alias("part"), F.coalesce(t["got"]["reason"], F.lit("the value holds the joining character")).alias("reason")),
-    )
-    n, g = F.size(parts), F.size(good)
-    # Partial acceptance only where nothing but pure packers split the cell.
-    pure = F.size(F.split(v, r"\s*[;|]\s*")) == F.size(pieces)
     name = lambda *x: F.concat(F.lit(type_name), *[F.lit(i) if isinstance(i, str) else i.cast("string") for i in x])
-    first = F.get(tried, F.lit(0))
-    alone = verdict(first["got"]["value"].isNotNull(), first["got"]["value"], first["got"]["reason"], F.lit(label), none)
-    packed = (
-        F.when(F.size(pieces) < 2, single)
-        .when(n == 0, verdict(F.lit(False), F.lit(None).cast("string"), F.lit("only separators"), name("x0"), none))
-        .when(n == 1, alone)
-        .when(g == n, verdict(F.lit(True), F.array_join(good, JOIN), F.lit(None).cast("string"), name("x", n), none))
-        .when((g > 0) & pure, verdict(F.lit(True), F.array_join(good, JOIN), F.lit(None).cast("string"), name("x", g, "of", n), bad))
-        .otherwise(single)
-    )
-    return F.when(v != "", packed)
+
+    def packed(pieces: Column) -> Column:
+        parts = F.filter(pieces, lambda p: p.rlike(r"[\p{L}\p{Nd}]")) if not every else F.filter(pieces, lambda p: p != "")
+        tried = _phones(parts) if type_name == "phone" else F.transform(parts, lambda p: F.struct(p.alias("part"), _scalar(p, type_name, numeric).alias("got")))
+
+        def judged(tried: Column) -> Column:
+            good = F.transform(F.filter(tried, lambda t: t["got"]["value"].isNotNull() & ~t["got"]["value"].contains(JOIN)), lambda t: t["got"]["value"])
+            bad = F.transform(
+                F.filter(tried, lambda t: t["got"]["value"].isNull() | t["got"]["value"].contains(JOIN)),
+                lambda t: F.struct(t["part"].alias("part"), F.coalesce(t["got"]["reason"], F.lit("the value holds the joining character")).alias("reason")),
+            )
+            first, n = F.get(tried, F.lit(0))["got"], F.size(tried)
+            # Partial acceptance only where nothing but pure packers split the cell.
+            pure = F.size(F.split(v, r"\s*[;|]\s*")) == F.size(pieces)
+            text = F.lit(None).cast("string")
+            return let(good, lambda g: (
+                F.when(n == 0, _verdict(F.lit(False), text, F.lit("only separators"), name("x0"), none))
+                .when(n == 1, _verdict(first["value"].isNotNull(), first["value"], first["reason"], label, none))
+                .when(F.size(g) == n, _verdict(F.lit(True), F.array_join(g, JOIN), text, name("x", n), none))
+                .when((F.size(g) > 0) & pure, _verdict(F.lit(True), F.array_join(g, JOIN), text, name("x", F.size(g), "of", n), bad))
+            ))
+
+        return F.when(F.size(pieces) > 1, let(tried, judged))
+
+    # Most cells are single values: only those with a separator are split at all.
+    return F.when(v.rlike(pattern), F.coalesce(let(F.split(v, pattern), packed), whole)).otherwise(whole)
 
 
 def _phones(parts: Column) -> Column:
@@ -255,13 +277,15 @@ def _phones(parts: Column) -> Column:
     start = F.struct(F.array().cast("array<struct<part:string,got:struct<value:string,reason:string>>>").alias("done"), F.lit(None).cast("string").alias("last"))
 
     def step(state: Column, part: Column) -> Column:
-        own = phone(part)
         digits = F.regexp_replace(part, r"[\s()\-–—.]", "")
-        short = digits.rlike(r"^\d{5,7}$") & state["last"].isNotNull()
-        whole = F.concat(F.substring(state["last"], F.lit(1), F.length(state["last"]) - F.length(digits)), digits)
-        got = F.when(own["value"].isNull() & short, _pair(whole, "")).otherwise(own)
-        done = F.concat(state["done"], F.array(F.struct(part.alias("part"), got.alias("got"))))
-        return F.struct(done.alias("done"), F.coalesce(got["value"], state["last"]).alias("last"))
+
+        def with_own(own: Column) -> Column:
+            short = own["value"].isNull() & digits.rlike(r"^\d{5,7}$") & state["last"].isNotNull()
+            whole = F.concat(F.substring(state["last"], F.lit(1), F.length(state["last"]) - F.length(digits)), digits)
+            got = F.when(short, _pair(whole, "")).otherwise(own)
+            return let(got, lambda g: F.struct(F.concat(state["done"], F.array(F.struct(part.alias("part"), g.alias("got")))).alias("done"), F.coalesce(g["value"], state["last"]).alias("last")))
+
+        return let(phone(part), with_own)
 
     return F.aggregate(parts, start, step, lambda s: s["done"])
 

@@ -134,13 +134,15 @@ def facts(rows: DataFrame, plan: Plan, source: Source, onto: Ontology | None = N
     """
     onto = onto or default()
     items = {x.key: x for x in (*plan.entities, *plan.edges)}
+    # Ids and selections are computed once per row and entity, whatever is bound to it.
+    rows = rows.withColumns({f"__id_{k}": entity_id(plan, x, source.source_id) for k, x in items.items()} | {f"__sel_{k}": selection(plan, x, onto) for k, x in items.items()})
     structs = []
     for n, c in enumerate(claims(plan, onto)):
         item = items.get(c["entity"])
         if item is None or f"{c['column']}__is" not in rows.columns:
             continue
         got = F.col(f"{c['column']}__is")
-        eid = entity_id(plan, item, source.source_id)
+        eid = F.col(f"`__id_{item.key}`")
         parts = C.parts_of(got["value"], c["type"])
         fits = (lambda p, fmt=c["format"]: p.rlike(C.FORMATS[fmt]) if fmt in C.FORMATS else F.lit(True))
         value = lambda p: F.struct(
@@ -156,7 +158,7 @@ def facts(rows: DataFrame, plan: Plan, source: Source, onto: Ontology | None = N
         structs.append(F.struct(
             F.lit(n).alias("claim"), F.lit(c["column"]).alias("column"), F.lit(c["entity"]).alias("entity"), F.lit(item.schema).alias("schema"), F.lit(c["prop"]).alias("prop"),
             F.lit(c["type"]).alias("type"), F.lit(c["canonical_type"]).alias("canonical_type"), F.lit(c["matchable"]).alias("matchable"), eid.alias("entity_id"),
-            declared_selection(plan, item).alias("declared"), selection(plan, item, onto).alias("selected"), F.col(c["column"]).alias("value_raw"), got["canonicalizer"].alias("canonicalizer"), values.alias("values"),
+            declared_selection(plan, item).alias("declared"), F.col(f"`__sel_{item.key}`").alias("selected"), F.col(c["column"]).alias("value_raw"), got["canonicalizer"].alias("canonicalizer"), values.alias("values"),
         ))
     if not structs:
         raise ValueError("the plan has no binding on a column of the frame")

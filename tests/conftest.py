@@ -1,14 +1,19 @@
-import os
-
 import pytest
 
-os.environ.setdefault("TABLOOM_DRIVER_MEMORY", "4g")
-
 
 @pytest.fixture(scope="session")
 def spark():
-    from tabloom.session import local_session
+    from pyspark.sql import SparkSession
 
-    session = local_session(4)
+    session = (
+        SparkSession.builder.master("local[4]")
+        .config("spark.sql.shuffle.partitions", "3")
+        .config("spark.default.parallelism", "2")
+        .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.driver.memory", "4g")
+        .getOrCreate()
+    )
     session.sparkContext.setLogLevel("ERROR")
     yield session
