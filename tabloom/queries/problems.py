@@ -115,3 +115,12 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (p1_found, p1_typed, p1_by_source, p2_found, p2_canonical, p3_found, p3_departures, p3_profile, p3_shapes, p6_found)
 }
+
+_LONG = " UNION ALL ".join(f"SELECT source_id, load_no, 'c{k}' AS column_id, nullif(trim(c{k}, ' ' || chr(9) || chr(13) || chr(10) || chr(160) || chr(8199) || chr(8239) || chr(12288)), '') AS value FROM frame_rows" for k in range(14))
+ORACLE: dict[str, str] = {
+    "p3_profile": f"""WITH v AS ({_LONG}), g AS (SELECT source_id, load_no, column_id, value, count(*) AS n FROM v GROUP BY ALL)
+SELECT source_id, load_no, column_id, CAST(sum(n) AS BIGINT) AS row_count, CAST(coalesce(sum(n) FILTER (WHERE value IS NOT NULL), 0) AS BIGINT) AS filled, count(value) AS distinct_values,
+CAST(min(length(value)) AS INTEGER) AS min_len, CAST(max(length(value)) AS INTEGER) AS max_len, round(CAST(coalesce(sum(n) FILTER (WHERE value IS NOT NULL), 0) AS DOUBLE) / sum(n), 6) AS fill_rate,
+round(CAST(count(value) AS DOUBLE) / sum(n) FILTER (WHERE value IS NOT NULL), 6) AS distinct_ratio, round(CAST(max(n) FILTER (WHERE value IS NOT NULL) AS DOUBLE) / sum(n) FILTER (WHERE value IS NOT NULL), 6) AS modal_share,
+round(ln(sum(n) FILTER (WHERE value IS NOT NULL)) - sum(n * ln(n)) FILTER (WHERE value IS NOT NULL) / sum(n) FILTER (WHERE value IS NOT NULL), 6) AS entropy FROM g GROUP BY source_id, load_no, column_id""",
+}
