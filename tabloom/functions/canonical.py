@@ -30,6 +30,8 @@ PACKS = {
     "name": (r"\s*;\s*", False),
     "address": (r"\s*;\s*", False),
 }
+#: What a packed cell of the type has in it; one character class, so that single values are told at once.
+HINTS = {"phone": r"[;,/|\n]", "email": r"[;,/|\s]", "url": r"[;,|\s]", "identifier": r"[;,|\s]", "country": "[;,|]", "date": "[;|]", "name": ";", "address": ";"}
 MULTIVALUE = frozenset(PACKS)
 #: Characters that are only ever packed between values.
 PURE_PACKERS = ";|"
@@ -269,7 +271,7 @@ def _cell(v: Column, type_name: str, numeric: Column | None) -> Column:
         return F.when(F.size(pieces) > 1, let(tried, judged))
 
     # Most cells are single values: only those with a separator are split at all.
-    return F.when(v.rlike(pattern), F.coalesce(let(F.split(v, pattern), packed), whole)).otherwise(whole)
+    return F.when(v.rlike(HINTS[type_name]), F.coalesce(let(F.split(v, pattern), packed), whole)).otherwise(whole)
 
 
 def _phones(parts: Column) -> Column:

@@ -98,7 +98,7 @@ def real_day(y: int, m: int, d: int) -> bool:
 def _zone(name: str) -> ZoneInfo | None:
     try:
         return ZoneInfo(name)
-    except (OSError, ValueError):
+    except (KeyError, OSError, ValueError):
         return None
 
 

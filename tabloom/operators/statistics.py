@@ -180,7 +180,8 @@ def pack_rates(frame: DataFrame, column: str) -> DataFrame:
     """Share of values with a phone number of each calling code, packed cells counted."""
     got = C.canonical(F.col(column), "phone")
     values = F.filter(F.split(F.coalesce(got["value"], F.lit("")), ";"), lambda p: p != "")
-    rates = [F.avg(F.exists(values, lambda p, code=code: p.startswith(f"+{code}")).cast("double")).alias(f"rate_{code}") for code, *_ in C.PHONE_RULES]
+    share = lambda code: F.avg(F.exists(values, lambda p: p.startswith(f"+{code}")).cast("double"))
+    rates = [share(code).alias(f"rate_{code}") for code, *_ in C.PHONE_RULES]
     return frame.where(cell(column).isNotNull()).agg(*rates)
 
 
