@@ -416,14 +416,17 @@ def link_spellings(names: DataFrame) -> tuple[DataFrame, DataFrame]:
     asks = contexts((born, tag("b", F.col("birth"))), (~born & placed, tag("p", F.col("place"))), (~born & placed, tag("0")), (~born & ~placed, tag("*")))
     offers = contexts((born, tag("b", F.col("birth"))), (placed, tag("p", F.col("place"))), (~placed, tag("0")), (F.lit(True), tag("*")))
     # A probe looks up keys no longer than its own; a row that only offers must look up, too, for pairs whose asker is the shorter.
-    left = probe.select(F.col("sid").alias("a"), F.col("key").alias("ka"), "entry", F.explode(asks).alias("context"))
-    right = index.select(F.col("sid").alias("b"), F.col("key").alias("kb"), "entry", F.explode(offers).alias("context"))
-    other = ~F.col("context").startswith("b")
-    left2 = probe.select(F.col("sid").alias("a"), F.col("key").alias("ka"), "entry", F.explode(offers).alias("context")).where(other)
-    right2 = index.select(F.col("sid").alias("b"), F.col("key").alias("kb"), "entry", F.explode(asks).alias("context")).where(other)
+    # Both sides meet on a hash of context and entry: eight bytes are shuffled instead of two texts, and
+    # whatever meets by chance is told apart by its keys.
+    def keyed(df: DataFrame, listed: Column, sid: str, key: str) -> DataFrame:
+        rows = df.select(F.col("sid").alias(sid), F.col("key").alias(key), "entry", F.explode(listed).alias("context"))
+        return rows.select(sid, key, F.xxhash64("context", "entry").alias("token"), F.col("context").startswith("b").alias("born"))
+
+    left, right = keyed(probe, asks, "a", "ka"), keyed(index, offers, "b", "kb")
+    left2, right2 = keyed(probe, offers, "a", "ka").where("NOT born"), keyed(index, asks, "b", "kb").where("NOT born")
     close = (F.col("a") != F.col("b")) & (F.levenshtein("ka", "kb", 4).between(0, 4))
-    met = left.join(right, ["context", "entry"]).where(close).select("a", "b")
-    met = met.unionByName(left2.join(right2, ["context", "entry"]).where(close).select("a", "b"))
+    met = left.drop("born").join(right.drop("born"), "token").where(close).select("a", "b")
+    met = met.unionByName(left2.drop("born").join(right2.drop("born"), "token").where(close).select("a", "b"))
     candidates = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     side = lambda p: spellings.select(F.col("sid").alias(p), F.struct(*FIELDS).alias(f"{p}_fields"))
