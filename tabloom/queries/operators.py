@@ -10,12 +10,16 @@ from pyspark.sql import functions as F
 from tabloom.functions import canonical as C
 from tabloom.functions import detectors as D
 from tabloom.functions import text as X
+from tabloom.operators import layout as LY
 from tabloom.operators import ledger as L
 from tabloom.operators import profile as PR
 from tabloom.operators import review as RV
 from tabloom.operators import scoring as Z
 from tabloom.operators import statistics as S
 from tabloom.plans import compile as P
+from tabloom.plans import facts as FA
+from tabloom.plans import shortlist as SH
+from tabloom.plans import validate as V
 from tabloom.plans.model import Attachment, Binding, Decision, Entity, Plan, Relation, Selection
 from tabloom.plans.ontology import default
 from tabloom.session import table
@@ -182,7 +186,7 @@ def composite_keys(spark, d):
     return table(spark, d, "nation").select("n_nationkey", body.alias("body"), F.sha1(F.concat(F.lit("src/\x00k\x00"), body)).isNotNull().alias("has_id"))
 
 
-@query("""SELECT register_id, sum(len(string_split(t, ';'))) AS parts, count(*) AS cells FROM (SELECT register_id, lang || ';' || source AS t FROM documents WHERE lang IS NOT NULL) GROUP BY register_id""")
+@query("""SELECT register_id, CAST(sum(len(string_split(t, ';'))) AS BIGINT) AS parts, count(*) AS cells FROM (SELECT register_id, lang || ';' || source AS t FROM documents WHERE lang IS NOT NULL) GROUP BY register_id""")
 def unpacked_values(spark, d):
     df = table(spark, d, "documents").where("lang IS NOT NULL").select("register_id", F.concat_ws(";", "lang", "source").alias("t"))
     got = df.select("register_id", C.canonical(F.col("t"), "name")["value"].alias("v"))
@@ -232,7 +236,7 @@ def kind_columns(spark, d):
     return S.kind_columns(counts, df.count())
 
 
-@query("""SELECT 'c0' AS column_id, 1.0 AS text_share UNION ALL SELECT 'c1', 0.0""")
+@query("""SELECT 'c0' AS column_id, CAST(1.0 AS DOUBLE) AS text_share UNION ALL SELECT 'c1', CAST(0.0 AS DOUBLE)""")
 def text_shares(spark, d):
     return S.text_share(as_frame(table(spark, d, "orders"), "o_orderkey", ["o_orderpriority", "o_custkey"]).withColumn("c0", F.regexp_replace("c0", r"^\d-", "")), ["c0", "c1"])
 
@@ -364,7 +368,7 @@ def first_wins(spark, d):
     return P.first_wins(df, ["doc_id"], by="text").select("doc_id", "source")
 
 
-@query("""SELECT source_id, schema, sum(n) AS n FROM (SELECT source AS source_id, coalesce(lang, '-') AS schema, 1 AS n FROM documents) GROUP BY ROLLUP (source_id, schema)""")
+@query("""SELECT source_id, schema, CAST(sum(n) AS BIGINT) AS n FROM (SELECT source AS source_id, coalesce(lang, '-') AS schema, 1 AS n FROM documents) GROUP BY ROLLUP (source_id, schema)""")
 def corpus_rollup(spark, d):
     df = table(spark, d, "documents").select(F.col("source").alias("source_id"), F.coalesce("lang", F.lit("-")).alias("schema"))
     return df.rollup("source_id", "schema").agg(F.count(F.lit(1)).alias("n"))
@@ -458,3 +462,54 @@ def daily_windows(spark, d):
     got = table(spark, d, "events").groupBy(F.window("ts", "1 day"), "event_type").agg(F.count(F.lit(1)).alias("rows"))
     return got.select(F.col("window.start").alias("window_start"), "event_type", "rows")
 
+
+
+# -- layout and planning over the registers --------------------------------------------------
+def _register(spark: SparkSession, d: str, source: str = "c6f5cddb334c/main", load: int = 0) -> tuple[DataFrame, list[dict]]:
+    rows = table(spark, d, "frame_rows").where((F.col("source_id") == source) & (F.col("load_no") == load))
+    heads = table(spark, d, "sources").where(F.col("source_id") == source).first()["column_headers"]
+    frame = rows.select(F.col("row_index").cast("int").alias("_row"), *[f"c{k}" for k in range(14)])
+    return frame, [{"id": f"c{k}", "index": k, "header": h, "label": None, "group": None} for k, h in enumerate(heads)]
+
+
+@query()
+def layout_of_a_register(spark, d):
+    """A register's first load as a raw grid, laid out again: kinds of rows that are no records, and the header."""
+    frame, columns = _register(spark, d)
+    cells = F.array(*[F.col(c["id"]) for c in columns])
+    head = spark.createDataFrame([(0, [c["header"] for c in columns])], "_row int, cells array<string>")
+    grid = head.unionByName(frame.select("_row", cells.alias("cells")))
+    got = LY.build_frame(grid)
+    return got.rows.agg(F.count(F.lit(1)).alias("rows")).select("rows", F.lit(got.header.row).alias("header_row"), F.lit(got.columns[0]["header"]).alias("first_header"))
+
+
+@query()
+def planned_bindings(spark, d):
+    """The statistical plan of a register after all rules."""
+    frame, columns = _register(spark, d)
+    facts = FA.profile_frame(frame, columns)
+    plan = V.validate(V.propose(frame, facts), V.Context(frame, facts))
+    rows = [(b.column, b.prop, b.entity, b.type_name, b.why) for b in plan.bindings]
+    return spark.createDataFrame(rows, "column string, prop string, entity string, type_name string, why string")
+
+
+@query()
+def candidate_ranking(spark, d):
+    """The best five properties of every column of every source, by header."""
+    onto, rows = default(), []
+    for r in table(spark, d, "sources").select("source_id", "column_headers").collect():  # a row per source
+        for k, h in enumerate(r["column_headers"]):
+            for place, c in enumerate(SH.shortlist(FA.ColumnFacts(f"c{k}", k, h), onto, ["Person", "Organization", "Company", "Address", "Debt"], 5), 1):
+                rows.append((r["source_id"], c.column, place, c.qname, round(c.score, 6)))
+    return spark.createDataFrame(rows, "source_id string, column string, place int, qname string, score double")
+
+
+@query()
+def register_accounting(spark, d):
+    """A register planned, executed and accounted for, end to end."""
+    frame, columns = _register(spark, d)
+    facts = FA.profile_frame(frame, columns)
+    plan = V.validate(V.propose(frame, facts), V.Context(frame, facts))
+    rows = P.normalised(frame, plan)
+    long = P.facts(rows, plan, SRC)
+    return L.totals(L.coverage(frame, rows, plan), L.claim_ledger(rows, long, plan))
