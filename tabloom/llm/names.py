@@ -401,21 +401,30 @@ def link_spellings(names: DataFrame) -> tuple[DataFrame, DataFrame]:
     spellings = cut(spellings)
     members = names.join(spellings, FIELDS).select("row_id", "sid")  # no field is null
 
-    own = ["sid", "kind", "birth", "place"]
+    own = ["sid", "kind", "birth", "place", "trade"]
     index, probe = _entries(spellings, own, "index"), _entries(spellings, own, "probe")
     born, placed = F.col("birth") != "", F.col("place") != ""
-    # What the two rows of a pair must share; each compatible pair meets in at least one.
+    org = F.col("kind") == "o"
+    traded = org & (F.col("trade") != "")
+
+    # What the two rows of a pair must share; each compatible pair meets in at least one context.
     #   b: both have the birth date; p: one has none, both have the place;
-    #   0: one has no birth date but a place, the other no place; *: one has neither.
-    def tag(name: str, value: Column | None = None) -> Column:
-        return F.concat(F.lit(name), F.col("kind"), value if value is not None else F.lit(""))
+    #   0: one has a place and no birth date, the other a birth date and no place; *: one has neither.
+    # Organisations also share their trade; those without one (p and * without trade, e) meet all others.
+    def tag(name: str, *values: Column) -> Column:
+        return F.concat(F.lit(name), F.col("kind"), *[F.concat(F.lit("|"), v) for v in values])
 
     def contexts(*pairs: tuple[Column, Column]) -> Column:
         return F.array_compact(F.array(*[F.when(when, text) for when, text in pairs]))
 
-    asks = contexts((born, tag("b", F.col("birth"))), (~born & placed, tag("p", F.col("place"))), (~born & placed, tag("0")), (~born & ~placed, tag("*")))
-    offers = contexts((born, tag("b", F.col("birth"))), (placed, tag("p", F.col("place"))), (~placed, tag("0")), (F.lit(True), tag("*")))
-    # A probe looks up keys no longer than its own; a row that only offers must look up, too, for pairs whose asker is the shorter.
+    place, trade, none = F.col("place"), F.col("trade"), F.lit("")
+    asks = contexts(
+        (born, tag("b", F.col("birth"))), (~born & placed, tag("p", place, trade)), (~born & placed, tag("0")), (~born & ~placed, tag("*", trade)), (org & ~traded & placed, tag("e")),
+    )
+    offers = contexts(
+        (born, tag("b", F.col("birth"))), (placed, tag("p", place, trade)), (placed & traded, tag("p", place, none)), (born & ~placed, tag("0")),
+        (F.lit(True), tag("*", trade)), (traded, tag("*", none)), (org & ~born & ~placed, tag("e")),
+    )
     # Both sides meet on a hash of context and entry: eight bytes are shuffled instead of two texts, and
     # whatever meets by chance is told apart by its keys.
     def keyed(df: DataFrame, listed: Column, sid: str, key: str) -> DataFrame:
