@@ -34,15 +34,20 @@ def samples(counts: DataFrame, n: int = 5) -> DataFrame:
     """n values per column that stand for its lengths: the rows in order of (length, value) are cut into n
     equal parts, and of each part the value that fills most of it comes first; then the commonest others.
 
-    Values are placed by a running sum within their column (a range-partitioned
-    sort of *distinct* values, not of rows), each part keeps its best n + 1, and
+    Values are placed by running sums in two steps: over the buckets (length, first
+    two characters) of a column, a small table, and then inside each bucket, so that
+    no task sorts a column's values as a whole. Each part keeps its best n + 1, and
     only those few meet to be told apart.
     """
     seen = counts.where("value IS NOT NULL").withColumn("shape", X.shape("value"))
     by_shape = seen.groupBy("column_id", "shape").agg(F.sum("n").alias("shape_n"))
     total = seen.groupBy("column_id").agg(F.sum("n").alias("total"))
-    order = Window.partitionBy("column_id").orderBy(F.length("value"), "value")
-    placed = seen.withColumn("hi", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("lo", F.col("hi") - F.col("n"))
+    seen = seen.withColumns({"len": F.length("value"), "head": F.substring("value", 1, 2)})
+    buckets = seen.groupBy("column_id", "len", "head").agg(F.sum("n").alias("bucket_n"))
+    running = Window.partitionBy("column_id").orderBy("len", "head").rowsBetween(Window.unboundedPreceding, 0)
+    offsets = buckets.withColumn("offset", F.sum("bucket_n").over(running) - F.col("bucket_n")).drop("bucket_n")
+    inside = Window.partitionBy("column_id", "len", "head").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    placed = seen.join(offsets, ["column_id", "len", "head"]).withColumn("hi", F.col("offset") + F.sum("n").over(inside)).withColumn("lo", F.col("hi") - F.col("n"))
     placed = placed.join(by_shape, ["column_id", "shape"]).join(total, "column_id")
     part = placed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     a, b = F.floor(F.col("part") * F.col("total") / n), F.floor((F.col("part") + 1) * F.col("total") / n)

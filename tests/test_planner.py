@@ -86,3 +86,26 @@ def test_filters_kinds_and_overrides(spark):
     bad = Plan("Person", [Entity("p", "Person", ["c0"], Selection("c1", "none")), Entity("v", "Vessel", ["c0"], Selection("c1", "Vessel"))], [], [Binding("c0", "Vessel:name", "v", "name")])
     got = V.validate(bad, ctx, refinement="none", overrides={"c0": {"action": "bind", "entity": "v", "prop": "Vessel:alias"}})
     assert [e.key for e in got.entities] == ["v"] and [b.prop for b in got.bindings] == ["Vessel:alias"]
+
+
+def test_samples_equal_the_plain_definition(spark):
+    import random
+    from collections import Counter
+
+    from tabloom.operators import statistics as S
+
+    rng = random.Random(9)
+    counts = Counter("".join(rng.choice("ab1") for _ in range(rng.randint(1, 5))) for _ in range(400))
+    df = spark.createDataFrame([("c0", v, n) for v, n in counts.items()] + [("c0", None, 7)], "column_id string, value string, n long")
+    shape = {v: "".join("d" if c == "1" else "L" for c in v) for v in counts}
+    of_shape = Counter()
+    for v, n in counts.items():
+        of_shape[shape[v]] += n
+    rows = [v for v in sorted(counts, key=lambda v: (len(v), v)) for _ in range(counts[v])]
+    chosen = []
+    for k in range(5):
+        part = Counter(rows[k * len(rows) // 5 : (k + 1) * len(rows) // 5])
+        free = [v for v in part if v not in chosen]
+        if free:
+            chosen.append(min(free, key=lambda v: (-part[v], -of_shape[shape[v]], v)))
+    assert S.samples(df).first()["samples"] == chosen
