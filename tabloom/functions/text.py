@@ -20,14 +20,16 @@ def _col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+# The white space of Unicode.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(x: Column | str) -> Column:
-    """Without white space of any script around it."""
-    return F.regexp_replace(_col(x), r"(?U)^\s+|\s+$", "")
+    """Without white space of any script around it; a trim, no pattern."""
+    return F.btrim(_col(x), F.lit(WHITE))
 
 
-def strip_ends(x: Column | str) -> Column:
-    """Without the common white space around it; cheaper than ``strip``, no pattern."""
-    return F.btrim(_col(x), F.lit(" \t\r\n\u00a0\u2007\u202f\u3000"))
+strip_ends = strip
 
 
 def collapse(x: Column | str) -> Column:

@@ -465,16 +465,17 @@ def daily_windows(spark, d):
 
 
 # -- layout and planning over the registers --------------------------------------------------
-def _register(spark: SparkSession, d: str, source: str = "c6f5cddb334c/main", load: int = 0) -> tuple[DataFrame, list[dict]]:
-    rows = table(spark, d, "frame_rows").where((F.col("source_id") == source) & (F.col("load_no") == load))
-    heads = table(spark, d, "sources").where(F.col("source_id") == source).first()["column_headers"]
-    frame = rows.select(F.col("row_index").cast("int").alias("_row"), *[f"c{k}" for k in range(14)])
+def _register(spark: SparkSession, d: str) -> tuple[DataFrame, list[dict]]:
+    """All rows of the registers as one frame; they share one layout, whose headers the first source has."""
+    rows = table(spark, d, "frame_rows")
+    heads = table(spark, d, "sources").where(F.size("column_headers") == 14).agg(F.min_by("column_headers", "source_id").alias("h")).first()["h"]
+    frame = rows.select(F.col("row_id").cast("int").alias("_row"), *[f"c{k}" for k in range(14)])
     return frame, [{"id": f"c{k}", "index": k, "header": h, "label": None, "group": None} for k, h in enumerate(heads)]
 
 
 @query()
 def layout_of_a_register(spark, d):
-    """A register's first load as a raw grid, laid out again: kinds of rows that are no records, and the header."""
+    """The registers as one raw grid, laid out again: its records and its header."""
     frame, columns = _register(spark, d)
     cells = F.array(*[F.col(c["id"]) for c in columns])
     head = spark.createDataFrame([(0, [c["header"] for c in columns])], "_row int, cells array<string>")
@@ -485,7 +486,7 @@ def layout_of_a_register(spark, d):
 
 @query()
 def planned_bindings(spark, d):
-    """The statistical plan of a register after all rules."""
+    """The statistical plan of the registers after all rules."""
     frame, columns = _register(spark, d)
     facts = FA.profile_frame(frame, columns)
     plan = V.validate(V.propose(frame, facts), V.Context(frame, facts))
@@ -506,7 +507,7 @@ def candidate_ranking(spark, d):
 
 @query()
 def register_accounting(spark, d):
-    """A register planned, executed and accounted for, end to end."""
+    """The registers planned, executed and accounted for, end to end."""
     frame, columns = _register(spark, d)
     facts = FA.profile_frame(frame, columns)
     plan = V.validate(V.propose(frame, facts), V.Context(frame, facts))

@@ -73,7 +73,7 @@ def _usual_shapes(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_departures(spark: SparkSession, d: str) -> DataFrame:
     got = profile.profiles(_counts(spark, d), ["source_id", "load_no"], _usual_shapes(spark, d))
-    return profile.departures(got, ["source_id"])
+    return profile.departures(got, ["source_id"]).drop("buckets")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
