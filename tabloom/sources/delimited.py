@@ -1,6 +1,8 @@
 """Delimited text: encoding, separator and header repair from its head, rows by Spark.
 
 Only the head of a file (at most ``HEAD`` bytes) is looked at on the driver.
+The width is that of the widest row of the whole file: one pass counts the
+fields of the rows that don't fit the head's width.
 Rows are numbered without sorting or shuffling them: by the file order of
 Spark's partitions, each counted once.
 """
@@ -75,6 +77,17 @@ def repaired_header(rows: list[list[str]], separator: str) -> list[str] | None:
     return None
 
 
+def widest(broken: DataFrame, separator: str) -> int:
+    """Fields of the widest of the records in ``_broken``; 0 without any."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        csv.field_size_limit(2**31 - 1)
+        for pdf in batches:
+            yield pd.DataFrame({"n": [max((len(r) for text in pdf["_broken"] for r in csv.reader(io.StringIO(text, newline=""), delimiter=separator)), default=0)]})
+
+    return map_batches(broken, run, "n int").agg(F.max("n").alias("n")).first()["n"] or 0
+
+
 def read_grid(spark: SparkSession, path: str, separator: str | None = None, encoding: str | None = None) -> DataFrame:
     """(_row, cells) of one delimited file; every cell is text, quotes may hold separators and line breaks."""
     head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, HEAD).alias("h")).first()["h"]
@@ -87,16 +100,22 @@ def read_grid(spark: SparkSession, path: str, separator: str | None = None, enco
     fixed = repaired_header(rows, separator)
     if names[encoding] != "UTF-8" and names[encoding] != "ISO-8859-1":
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    schema = ", ".join(f"c{k} string" for k in range(width)) + ", _broken string"
-    df = (
-        spark.read.schema(schema)
-        .option("sep", separator).option("encoding", names[encoding]).option("quote", '"').option("escape", '"').option("multiLine", "true")
-        .option("header", "false").option("columnNameOfCorruptRecord", "_broken").option("mode", "PERMISSIVE").csv(path)
-    )
+
+    def records(width: int) -> DataFrame:
+        schema = ", ".join(f"c{k} string" for k in range(width)) + ", _broken string"
+        return (
+            spark.read.schema(schema)
+            .option("sep", separator).option("encoding", names[encoding]).option("quote", '"').option("escape", '"').option("multiLine", "true")
+            .option("header", "false").option("columnNameOfCorruptRecord", "_broken").option("mode", "PERMISSIVE").csv(path)
+        )
+
+    # Spark drops the surplus fields of a row wider than its schema; such a row, as a narrower one, is in _broken.
+    width = max(width, widest(records(width).select("c0", "_broken").where("_broken IS NOT NULL"), separator))
+    df = records(width)
     cells = F.array(*[F.nullif(F.regexp_replace(F.regexp_replace(F.col(f"c{k}"), "^\\x{FEFF}", ""), r"(?U)^\s+|\s+$", ""), F.lit("")) for k in range(width)])
     out = numbered(df.select(cells.alias("cells")))
     if fixed:
-        line = F.array(*[F.lit(x.strip()) for x in fixed])
+        line = F.array(*[F.lit(x.strip()) for x in fixed], *[F.lit(None).cast("string")] * (width - len(fixed)))
         out = out.select("_row", F.when(F.col("_row") == 0, line).otherwise(F.col("cells")).alias("cells"))
     return out
 

@@ -101,3 +101,21 @@ def test_files_are_read_on_behind_broken_quotes(spark, tmp_path):
     p.write_text('11111111;Іван;1\n22222222;"Петро;2\n33333333;Ольга;3\n44444444;"Ан\nна";4\n5;x\n')
     got = [(r["ok"], r["reason"], list(r["typed"]) if r["typed"] else None) for r in S.read_recovering(spark, str(p), ";", ["identifier", "name", "number"]).collect()]
     assert got == [(True, None, ["11111111", "Іван", "1"]), (False, "quoting", None), (True, None, ["33333333", "Ольга", "3"]), (True, None, ["44444444", "Ан\nна", "4"]), (False, "columns", None)]
+
+
+def test_a_file_is_as_wide_as_its_widest_row(spark, tmp_path):
+    p = tmp_path / "w.csv"
+    lines = ["name;sum"] + [f"n{k};{k}" for k in range(80)] + ['"a; ""b""\nc";1;;"late; remark";x;', "z;2"]
+    p.write_text("\n".join(lines) + "\n")
+    got = [r["cells"] for r in S.read_grid(spark, str(p)).orderBy("_row").collect()]
+    assert {len(r) for r in got} == {6} and len(got) == 83
+    assert got[81] == ['a; "b"\nc', "1", None, "late; remark", "x", None] and got[82] == ["z", "2", None, None, None, None]
+    rows = reader.frames(spark, str(p))[""].rows.where("c3 IS NOT NULL").collect()
+    assert [(r["c0"], r["c3"], r["c4"]) for r in rows] == [('a; "b"\nc', "late; remark", "x")]
+
+
+def test_a_repaired_header_is_as_wide_as_the_rows(spark, tmp_path):
+    p = tmp_path / "h.csv"
+    p.write_text("name,sum\n" + "n;1\n" * 70 + "n;1;late\n")
+    got = [r["cells"] for r in S.read_grid(spark, str(p)).orderBy("_row").collect()]
+    assert got[0] == ["name", "sum", None] and got[1] == ["n", "1", None] and got[71] == ["n", "1", "late"]
