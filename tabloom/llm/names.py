@@ -4,10 +4,12 @@
    (persons) or core, trade word and legal form (organisations), in one sound
    alphabet for Cyrillic and Latin spellings.
 2. Rows with the same fields are one *spelling*; only spellings are compared.
-3. A key of length n is cut into k + 1 segments (k edits allowed, by length).
-   A key within k edits keeps one segment unchanged, at a place shifted by at
-   most k: the segments of the shorter keys make the inverted index, and
-   position-shifted substrings of the others look them up. The look-up key also
+3. A key of length n is cut into k + 1 segments (k edits allowed, by length;
+   a swap of neighbours is one). A key within k edits keeps one segment, at a
+   place shifted by at most k, unchanged but for a swap across its left border:
+   the segments of the shorter keys make the inverted index, and
+   position-shifted substrings of the others, as they stand and with such a
+   swap undone, look them up. The look-up key also
    holds what two rows of one party must share (the birth date; else the place),
    so a popular syllable never gathers all names that have it.
 4. Candidates are verified with the banded edit distance, then field by field.
@@ -291,7 +293,11 @@ def index_entries(key: str) -> list[str]:
 
 
 def probe_entries(key: str) -> list[str]:
-    """The position-shifted substrings with which a key looks up keys that are no longer than itself."""
+    """The position-shifted substrings with which a key looks up keys that are no longer than itself.
+
+    A swap across a border spoils two segments. Counted for the left one of them, k edits still leave
+    one of k + 1 segments without any, which is whole once a swap at its left border is undone.
+    """
     m, out = len(key), set()
     for n in range(max(1, m - 3), m + 1):
         k, more = allowed_edits(n), m - n
@@ -304,6 +310,9 @@ def probe_entries(key: str) -> list[str]:
             lo = max(0, a - i, a + more - (k - i))
             hi = min(m - size, a + i, a + more + (k - i))
             out.update(f"{n}.{i}.{key[s : s + size]}" for s in range(lo, hi + 1))
+            # The swap is one of the i edits at the left and shifts nothing.
+            lo, hi = max(1, a - i + 1, a + more - (k - i)), min(m - size, a + i - 1, a + more + (k - i))
+            out.update(f"{n}.{i}.{key[s - 1]}{key[s + 1 : s + size]}" for s in range(lo, hi + 1))
     return sorted(out)
 
 
@@ -433,7 +442,14 @@ def link_spellings(names: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     left, right = keyed(probe, asks, "a", "ka"), keyed(index, offers, "b", "kb")
     left2, right2 = keyed(probe, offers, "a", "ka").where("NOT born"), keyed(index, asks, "b", "kb").where("NOT born")
-    close = (F.col("a") != F.col("b")) & (F.levenshtein("ka", "kb", 4).between(0, 4))
+    # A swap is two plain edits and leaves the letters as they are: k edits with s swaps are at most k + s plain
+    # ones, and at most k - s letters of one key are missing in the other, so both together are at most 2 k.
+    least = F.least(F.length("ka"), F.length("kb"))
+    most = F.when(least < 4, 0).when(least < 6, 1).when(least < 9, 2).otherwise(3)  # allowed_edits of the shorter key
+    plain = F.levenshtein("ka", "kb", 6)
+    missing = F.expr("greatest(length(translate(ka, kb, '')), length(translate(kb, ka, '')))")
+    near = F.when((plain < 0) | (plain > 2 * most), False).when(plain <= most, True).otherwise(plain + missing <= 2 * most)
+    close = (F.col("a") != F.col("b")) & near
     met = left.drop("born").join(right.drop("born"), "token").where(close).select("a", "b")
     met = met.unionByName(left2.drop("born").join(right2.drop("born"), "token").where(close).select("a", "b"))
     candidates = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

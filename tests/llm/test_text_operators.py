@@ -35,6 +35,34 @@ def test_near_keys_always_share_an_entry():
             assert set(N.index_entries(short)) & set(N.probe_entries(long)), (short, long)
 
 
+def test_keys_near_by_swaps_share_an_entry():
+    rng = random.Random(3)
+    for _ in range(20000):
+        a = "".join(rng.choice("abcd") for _ in range(rng.randint(4, 14)))
+        b = list(a)
+        for _ in range(rng.randint(1, 3)):
+            at = rng.randrange(len(b))
+            if rng.random() < 0.6:
+                b[at : at + 2] = b[at : at + 2][::-1]
+            else:
+                b[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "d"])
+        short, long = sorted((a, "".join(b)), key=len)
+        if short and N.osa(short, long, 3) <= N.allowed_edits(len(short)):
+            assert set(N.index_entries(short)) & set(N.probe_entries(long)), (short, long)
+
+
+def test_swapped_spellings_are_linked(spark):
+    def linked(*surnames):
+        rows = [(i, "person", f"{s} Петро Тарасович", "16.02.1990") for i, s in enumerate(surnames)]
+        df = spark.createDataFrame(rows, "id long, k string, n string, b string").withColumns({"p": F.lit(None).cast("string"), "r": F.lit(None).cast("string")})
+        return {tuple(r) for r in N.linked_pairs(*N.link_spellings(N.read_names(df, "id", "n", "k", "b", "p", "r"))).collect()}
+
+    # One swap across the segment border of a key of four, and three swaps (six plain edits) in a key of twelve.
+    assert linked("Бура", "Бруа") == {(0, 1)}
+    assert linked("Балодемогуни", "Аблодмеогнуи") == {(0, 1)}
+    assert linked("Бура", "Колодемогуни") == set()
+
+
 def test_edits_count_swaps_once():
     assert N.osa("abcd", "abdc", 2) == 1 and N.osa("abc", "abc", 0) == 0 and N.osa("a", "bcde", 2) == 3
 
