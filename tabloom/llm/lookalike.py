@@ -10,8 +10,10 @@ invisible characters, composition), then each word of mixed alphabets in the
 alphabet most of its letters belong to.
 
 Defined results: null stays null; line breaks stay; words of one alphabet stay;
-a letter without a look-alike in its word's alphabet stays; at a tie the
-alphabet of the rest of the text decides, then the corpus. Counts cover all rows.
+a letter without a look-alike in its word's alphabet stays; at a tie, or where
+the word would stay mixed, the alphabet of the word's compound decides, then
+that of the rest of the text, then the corpus. In cells whose type takes blanks
+as separators of values, runs of blanks are separators and stay. Counts cover all rows.
 """
 
 from __future__ import annotations
@@ -45,6 +47,7 @@ WIDE = range(0xFF01, 0xFFEF)
 SCRIPTS = ("CYRILLIC", "LATIN", "GREEK")
 
 _WORD = re.compile(r"[^\W\d_]+")
+_COMPOUND = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
 _BLANKS = re.compile(r"[ ]{2,}")
 
 
@@ -61,6 +64,16 @@ def script_of(ch: str) -> str | None:
     return next((s for s in SCRIPTS if name.startswith(s)), None)
 
 
+def _letters(text: str) -> dict[str, int]:
+    """How many letters of each alphabet a text has."""
+    counts: dict[str, int] = {}
+    for ch in text:
+        s = script_of(ch)
+        if s:
+            counts[s] = counts.get(s, 0) + 1
+    return counts
+
+
 class Classes:
     """Union-find over strings."""
 
@@ -164,27 +177,28 @@ class Rewriter:
                     rules |= {x: best for x in members if x != best and x not in own}
             self.by_script[script] = automaton(rules)
 
-    def _word(self, word: str, around: str) -> str:
-        counts: dict[str, int] = {}
-        for ch in word:
-            s = script_of(ch)
-            if s:
-                counts[s] = counts.get(s, 0) + 1
+    def _word(self, word: str, compound: str, around: str) -> str:
+        counts = _letters(word)
         if len(counts) < 2:
             return word
         most = max(counts.values())
         first = [s for s in counts if counts[s] == most]
-        if len(first) > 1:
-            rest = {s: sum(script_of(ch) == s for ch in around) - counts[s] for s in first}
-            top = max(rest.values())
-            first = [s for s in first if rest[s] == top]
-            first.sort(key=lambda s: (-self.weight[s], s))
-        return rewrite(self.by_script[first[0]], word)
-
-    def clean(self, text: str) -> str:
+        if len(first) == 1:
+            got = rewrite(self.by_script[first[0]], word)
+            if len(_letters(got)) < 2:
+                return got
+            first = list(counts)
+        # Undecided by itself: an alphabet that makes the word whole, then what stands around it.
+        got = {s: rewrite(self.by_script[s], word) for s in first}
+        near, far = _letters(compound), _letters(around)
+        best = min(first, key=lambda s: (len(_letters(got[s])), -near.get(s, 0), -far.get(s, 0), -self.weight[s], s))
+        return got[best]
+
+    def clean(self, text: str, runs_stay: bool = False) -> str:
+        """The consistent form; with ``runs_stay`` runs of blanks are no text but separators."""
         text = unicodedata.normalize("NFC", rewrite(self.neutral, text))
-        text = _BLANKS.sub(" ", text).strip(" ")
-        return _WORD.sub(lambda m: self._word(m[0], text), text)
+        text = (text if runs_stay else _BLANKS.sub(" ", text)).strip(" ")
+        return _COMPOUND.sub(lambda c: _WORD.sub(lambda m: self._word(m[0], c[0], text), c[0]), text)
 
 
 def code_point_counts(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -234,16 +248,20 @@ def suspect(text: Column) -> Column:
     return text.rlike(_SUSPECT)
 
 
-def rewritten(cells: DataFrame, text: str, keep: list[str], frequency: dict[str, int]) -> DataFrame:
-    """``keep`` and clean_text of the rows whose text isn't in the consistent form; a narrow map."""
-    source = cells.where(suspect(F.col(text))).select(*keep, F.col(text).alias("__text"))
+def rewritten(cells: DataFrame, text: str, keep: list[str], frequency: dict[str, int], runs_stay: str | None = None) -> DataFrame:
+    """``keep`` and clean_text of the rows whose text isn't in the consistent form; a narrow map.
+
+    ``runs_stay`` names a boolean column: whether runs of blanks separate values in the row's cell.
+    """
+    stay = F.coalesce(F.col(runs_stay), F.lit(False)) if runs_stay else F.lit(False)
+    source = cells.where(suspect(F.col(text))).select(*keep, F.col(text).alias("__text"), stay.alias("__stay"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.select(*keep).schema) + ", clean_text string"
     known = {ch: n for ch, n in frequency.items() if script_of(ch)}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         writer = Rewriter(known)
         for pdf in batches:
-            clean = [writer.clean(x) for x in pdf["__text"]]
+            clean = [writer.clean(x, bool(y)) for x, y in zip(pdf["__text"], pdf["__stay"], strict=True)]
             out = pdf[keep].copy()
             out["clean_text"] = clean
             yield out[[a != b for a, b in zip(clean, pdf["__text"], strict=True)]]

@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.llm import lookalike, lookup, mixing, names, tokens, toxicity
+from tabloom.operators.packed import RULES
 from tabloom.session import table
 
 CELLS = [f"c{k}" for k in range(14)]
+#: Rows up to which a register of sources counts as small.
+SMALL = 10_000
 
 
 def _read_names(spark: SparkSession, d: str) -> DataFrame:
@@ -37,13 +40,22 @@ def p5_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return got.where(F.col("qname") == lookup.UNMATCHED).groupBy("field_name", "typed").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _blank_separated(spark: SparkSession, d: str) -> DataFrame:
+    """Per source the columns whose type takes blanks as separators of packed values."""
+    types = [name for name, rule in RULES.items() if " " in rule.separators]
+    spaced = F.filter(F.transform("column_types", lambda t, k: F.when(t.isin(types), F.concat(F.lit("c"), k.cast("string")))), lambda c: c.isNotNull())
+    df = table(spark, d, "sources").select("source_id", spaced.alias("spaced"))
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     rows, columns = table(spark, d, "frame_rows"), table(spark, d, "frame_columns")
     frequency = lookalike.frequencies(lookalike.code_point_counts(rows, CELLS), lookalike.code_point_counts(columns, ["header"]))
-    cells = rows.select("row_id", *CELLS).unpivot(["row_id"], CELLS, "column_id", "text")
-    cells = cells.select(F.concat(F.lit("frame_rows."), "column_id").alias("field_name"), F.col("row_id").alias("row_key"), "text")
-    headers = columns.select(F.lit("frame_columns.header").alias("field_name"), F.col("column_key").alias("row_key"), F.col("header").alias("text"))
-    return lookalike.rewritten(cells.unionByName(headers), "text", ["field_name", "row_key"], frequency)
+    cells = rows.select("row_id", "source_id", *CELLS).unpivot(["row_id", "source_id"], CELLS, "column_id", "text")
+    cells = cells.where(lookalike.suspect(F.col("text"))).join(_blank_separated(spark, d), "source_id", "left")
+    cells = cells.select(F.concat(F.lit("frame_rows."), "column_id").alias("field_name"), F.col("row_id").alias("row_key"), "text", F.array_contains("spaced", F.col("column_id")).alias("runs"))
+    headers = columns.select(F.lit("frame_columns.header").alias("field_name"), F.col("column_key").alias("row_key"), F.col("header").alias("text"), F.lit(False).alias("runs"))
+    return lookalike.rewritten(cells.unionByName(headers), "text", ["field_name", "row_key"], frequency, "runs")
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:

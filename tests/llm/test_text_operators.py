@@ -114,6 +114,18 @@ def test_disguised_text_comes_back():
     assert w.clean("") == "" and w.clean("​") == ""
 
 
+def test_undecided_words_follow_their_compound():
+    w = A.Rewriter()
+    assert w.clean("ПрАТ Нежорпиг-Тpaнc") == "ПрАТ Нежорпиг-Транс" and w.clean("суд Hижній-Бpiд") == "суд Нижній-Брід"
+    assert w.clean("IT-компанія") == "IT-компанія"
+
+
+def test_blanks_that_separate_values_stay():
+    w = A.Rewriter()
+    assert w.clean("a@b.test  c@d.test ", True) == "a@b.test  c@d.test" and w.clean("a@b.test  c@d.test") == "a@b.test c@d.test"
+    assert w.clean("a@b.test\u3000c@d.test", True) == "a@b.test c@d.test"
+
+
 def test_classes_are_transitive():
     c = A.look_alikes()
     assert c.find("ｏ") == c.find("o") == c.find("о") == c.find("ο") and c.find("a") != c.find("o") and c.find("ï") == c.find("ї") == c.find("ї")
