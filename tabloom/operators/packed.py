@@ -93,6 +93,11 @@ class Tokenizer:
         return out
 
 
+def _one_of(characters: str) -> str:
+    """A character class of the JVM's patterns, by code points."""
+    return "[" + "".join(rf"\x{{{ord(ch):X}}}" for ch in characters) + "]"
+
+
 def split_packed(cells: DataFrame, cell: str, type_name: str, keep: list[str], *, least: int = 1) -> DataFrame:
     """One row per value: ``keep``, part_no (from 1) and part_text.
 
@@ -107,7 +112,7 @@ def split_packed(cells: DataFrame, cell: str, type_name: str, keep: list[str], *
     if least > 1:
         might = F.lit(False)
         for name, rule in RULES.items():
-            might = might | ((F.col("__type") == name) & F.col("__cell").rlike("[" + re.escape(rule.separators).replace(" ", r"\x20") + "]"))
+            might = might | ((F.col("__type") == name) & F.col("__cell").rlike(_one_of(rule.separators)))
         source = source.where(might)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -160,3 +160,17 @@ def test_canonical_values_by_type(spark):
         assert got["value"] == want and got["ok"] == (want is not None), (kind, text)
     C.register("shout", lambda v: F.struct(F.upper(v).alias("value"), F.lit(None).cast("string").alias("reason")))
     assert spark.createDataFrame([("a",)], "v string").select(C.canonical(F.col("v"), "shout")["value"].alias("x")).first()["x"] == "A"
+
+
+def test_the_filter_of_packed_cells_drops_none_that_splits(spark):
+    from tabloom.operators import packed
+
+    rows = [(name, f"ann{sep}bob{sep}2") for name, rule in packed.RULES.items() for sep in rule.separators]
+    rows += [("email", "ann@mail.test bob@mail.test"), ("email", "x20@mail.test"), ("name", "ann bob, cy"), ("other", "a;b")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, t string, c string")
+    want = set()
+    for i, (t, c) in enumerate(rows):
+        parts = packed.Tokenizer(packed.RULES.get(t, packed.PackRule(""))).values(c)
+        want |= {(i, k, p) for k, p in enumerate(parts, 1)} if len(parts) > 1 else set()
+    got = {tuple(r) for r in packed.split_packed(df, "c", "t", ["id"], least=2).collect()}
+    assert got == want and len({i for i, _, _ in got}) == sum(len(r.separators) for r in packed.RULES.values()) + 1
