@@ -12,7 +12,8 @@ A broken quote is a located syntax error. The parser doesn't trust anything
 behind it until the next *validated anchor*: a line start at which a whole
 record parses without quoting error, has the source's number of columns and
 begins with a field of the first column's type. From there it goes on, so one
-broken quote costs the damaged record only, not the rest of the file.
+broken quote costs the damaged record only, not the rest of the file. Record
+starts that are known beforehand (a record per message) are anchors as they are.
 
 Defined results for odd input: a null or empty text is a record of one empty
 field; blank-only text likewise; a source without declared columns refuses all
@@ -21,10 +22,12 @@ its records with reason ``source``; very long texts are parsed whole.
 
 from __future__ import annotations
 
+import bisect
 import datetime as dt
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -114,6 +117,28 @@ class Record:
     error_field: int | None = None
 
 
+class _Quotes:
+    """Where quoted fields close, from one scan of the text for runs of quotes.
+
+    A field that opens at a quote closes at the last quote of the first run, counted from behind that quote, of
+    odd length; so a test of an anchor costs no scan, however far the closing quote is.
+    """
+
+    def __init__(self, text: str):
+        self.runs = [m.span() for m in re.finditer('"+', text)]
+        self.starts = [a for a, _ in self.runs]
+        self.next_odd: list[int | None] = [None] * (len(self.runs) + 1)
+        for k in range(len(self.runs) - 1, -1, -1):
+            a, b = self.runs[k]
+            self.next_odd[k] = b - 1 if (b - a) % 2 else self.next_odd[k + 1]
+
+    def closing(self, opening: int) -> int | None:
+        """The place of the quote that closes a field opened at ``opening``; None if there is none."""
+        k = bisect.bisect_right(self.starts, opening) - 1
+        stop = self.runs[k][1]
+        return stop - 1 if (stop - opening - 1) % 2 else self.next_odd[k + 1]
+
+
 class RecordGrammar:
     """The grammar of one source: its separator and its column types."""
 
@@ -174,55 +199,89 @@ class RecordGrammar:
         text = (text or "").rstrip("\r\n")
         return self._check(self._record(text, 0, len(text), rows=False))
 
-    def _anchor(self, text: str, at: int, end: int) -> bool:
-        got = self._record(text, at, end, rows=True)
-        if got.reason or len(got.fields) != len(self.types):
-            return False
-        try:
-            typed(got.fields[0], self.types[0])
-        except Refused:
-            return False
-        return True
-
-    def _recover(self, text: str, at: int, end: int) -> int:
+    def _whole(self, text: str, at: int, end: int, quotes: _Quotes) -> bool:
+        """Whether a record of the right width, begun by a field of the first column's type, stands at ``at``."""
+        for k in range(len(self.types)):
+            start = self._lead.match(text, at, end).end()
+            if start < end and text[start] == '"':
+                close = quotes.closing(start)
+                if close is None or close >= end:
+                    return False
+                stop = self._lead.match(text, close + 1, end).end()
+                value = text[start + 1 : close].replace('""', '"').strip(self.blanks) if k == 0 else ""
+            else:
+                stop = self._bare_line.match(text, start, end).end()
+                value = text[start:stop].rstrip("\r" + self.blanks) if k == 0 else ""
+            if k == 0:
+                try:
+                    typed(value, self.types[0])
+                except Refused:
+                    return False
+            if k == len(self.types) - 1:
+                return stop >= end or text[stop] in "\r\n"
+            if stop >= end or text[stop] != self.separator:
+                return False
+            at = stop + 1
+        return False
+
+    def _recover(self, text: str, at: int, end: int, quotes: _Quotes) -> int:
         """The next validated record start behind ``at``; the end if there is none."""
         at = text.find("\n", at, end)
         while at != -1:
-            if self._anchor(text, at + 1, end):
+            if self._whole(text, at + 1, end, quotes):
                 return at + 1
             at = text.find("\n", at + 1, end)
         return end
 
-    def blob(self, text: str | None) -> Iterator[Record]:
-        """All records of a text of many lines, resuming behind broken quotes."""
-        text = text or ""
-        at, end = 0, len(text)
-        while at < end:
-            got = self._record(text, at, end, rows=True)
-            if got.reason == "quoting":
-                got.end = self._recover(text, got.error_at, end)
-                at = got.end
-            else:
-                at = got.end
-                while at < end and text[at] in "\r\n":
-                    at += 1
-                    if text[at - 1] == "\n":
-                        break
-            yield self._check(got)
+    def blob(self, text: str | None, starts: list[int] | None = None) -> Iterator[Record]:
+        """All records of a text of many lines, resuming behind broken quotes.
+
+        ``starts`` are record starts known beforehand (a record per message, say), in order, the first at 0:
+        anchors that need no validation. Between two of them line breaks belong to the record, and only what
+        lies behind a broken quote is searched for further records. Without ``starts`` every line end outside
+        quotes ends a record.
+        """
+        text, quotes = text or "", None
+        for k, at in enumerate(starts if starts is not None else [0]):
+            last = starts is None or k + 1 == len(starts)
+            end = len(text) if last else starts[k + 1] - 1
+            rows = starts is None
+            if not rows:
+                while end > at and text[end - 1] in "\r\n":
+                    end -= 1
+            while at < end or not rows:
+                got = self._record(text, at, end, rows)
+                if got.reason == "quoting":
+                    quotes = quotes or _Quotes(text)
+                    got.end = self._recover(text, got.error_at, end, quotes)
+                    at, rows = got.end, True
+                else:
+                    at = got.end
+                    while at < end and text[at] in "\r\n":
+                        at += 1
+                        if text[at - 1] == "\n":
+                            break
+                yield self._check(got)
+                if not rows:
+                    break
 
 
-RESULT = "ok boolean, reason string, error_field int, error_at int, typed array<string>"
+RESULT = "part_no int, ok boolean, reason string, error_field int, error_at int, typed array<string>"
 
 
 def parse_records(
     df: DataFrame, text: str, separator: Column, types: Column, keep: list[str], *, failures_only: bool = False
 ) -> DataFrame:
-    """Each row's text as one record of its source's grammar.
-
-    ``keep`` are passed on; ok, reason, error_field, error_at and typed (the
-    canonical values of a good record) are added. ``types`` null: reason
-    ``source``. With ``failures_only`` good records stay in the workers.
-    No shuffle: a narrow map over Arrow batches.
+    """The records of each row's text by its source's grammar.
+
+    The texts of a batch that share a grammar are parsed as one stream in which
+    every row is a known record start: a broken quote ends at the latest there.
+    A row has one record, part_no 0; where its quoting is broken and further
+    whole records follow in later lines of the same text, these come out as
+    parts 1, 2, ... . ``keep`` are passed on; part_no, ok, reason, error_field,
+    error_at (within the row's text) and typed (the canonical values of a good
+    record) are added. ``types`` null: reason ``source``. With ``failures_only``
+    good records stay in the workers. No shuffle: a narrow map over Arrow batches.
     """
     source = df.select(*keep, F.col(text).alias("__text"), separator.alias("__sep"), types.alias("__types"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema) + ", " + RESULT
@@ -230,19 +289,28 @@ def parse_records(
     def run(batches):
         grammars: dict[tuple, RecordGrammar] = {}
         for pdf in batches:
-            rows = []
+            rows, streams = [], {}
             for k, (body, sep, kinds) in enumerate(zip(pdf["__text"], pdf["__sep"], pdf["__types"], strict=True)):
                 if kinds is None or sep is None:
-                    rows.append((k, False, "source", None, None, None))
-                    continue
-                key = (sep, tuple(kinds))
-                grammar = grammars.get(key) or grammars.setdefault(key, RecordGrammar(sep, list(kinds)))
-                got = grammar.row(body)
-                if got.reason or not failures_only:
-                    rows.append((k, got.reason is None, got.reason, got.error_field, got.error_at, None if got.reason else got.values))
-            out = pd.DataFrame(rows, columns=["__k", "ok", "reason", "error_field", "error_at", "typed"])
+                    rows.append((k, 0, False, "source", None, None, None))
+                else:
+                    streams.setdefault((sep, tuple(kinds)), []).append((k, body or ""))
+            for key, texts in streams.items():
+                grammar = grammars.get(key) or grammars.setdefault(key, RecordGrammar(key[0], list(key[1])))
+                starts = list(accumulate((len(t) + 1 for _, t in texts), initial=0))[:-1]
+                at, part = -1, 0
+                for got in grammar.blob("\n".join(t for _, t in texts), starts):
+                    if at + 1 < len(starts) and got.start == starts[at + 1]:
+                        at, part = at + 1, 0
+                    else:
+                        part += 1
+                    if got.reason or not failures_only:
+                        place = None if got.error_at is None else got.error_at - starts[at]
+                        rows.append((texts[at][0], part, got.reason is None, got.reason, got.error_field, place, None if got.reason else got.values))
+            out = pd.DataFrame(rows, columns=["__k", "part_no", "ok", "reason", "error_field", "error_at", "typed"])
             kept = pdf[keep].iloc[out["__k"].to_numpy(dtype=int)].reset_index(drop=True)
-            out["error_field"], out["error_at"] = out["error_field"].astype("Int32"), out["error_at"].astype("Int32")
+            for c in ("part_no", "error_field", "error_at"):
+                out[c] = out[c].astype("Int32")
             yield pd.concat([kept, out.drop(columns="__k")], axis=1)
 
     return map_batches(source, run, schema)

@@ -23,17 +23,17 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     df = _records(spark, d)
     got = records.parse_records(df, "raw_text", F.col("__field_sep"), F.col("__column_types"), ["record_id"], failures_only=True)
-    return got.select("record_id", "reason")
+    return got.where("part_no = 0").select("record_id", "reason")
 
 
 def p1_typed(spark: SparkSession, d: str) -> DataFrame:
     df = _records(spark, d)
     got = records.parse_records(df, "raw_text", F.col("__field_sep"), F.col("__column_types"), ["record_id", "source_id", "line_no"])
-    return got.select("record_id", "source_id", "line_no", "ok", "reason", "error_field", "error_at", "typed")
+    return got.select("record_id", "source_id", "line_no", "part_no", "ok", "reason", "error_field", "error_at", "typed")
 
 
 def p1_by_source(spark: SparkSession, d: str) -> DataFrame:
-    got = p1_typed(spark, d)
+    got = p1_typed(spark, d).where("part_no = 0")
     return got.groupBy("source_id").agg(
         F.count(F.lit(1)).alias("records"),
         *[F.count_if(F.col("reason") == r).alias(f"{r}_failures") for r in ("quoting", "columns", "value")],

@@ -40,6 +40,46 @@ def test_a_broken_quote_costs_one_record():
     assert all(broken[r.start : r.start + 8].isdigit() for r in got) and list(g.blob("")) == list(g.blob(None)) == []
 
 
+def test_a_stream_with_known_starts_gives_what_its_rows_give(spark):
+    rng, g = random.Random(5), R.RecordGrammar(";", ["identifier", "name"])
+    for _ in range(300):
+        texts = ["".join(rng.choice('";\n 1а') for _ in range(rng.randint(0, 9))) for _ in range(rng.randint(1, 6))]
+        starts = [sum(len(t) + 1 for t in texts[:k]) for k in range(len(texts))]
+        got = {r.start: r for r in g.blob("\n".join(texts), starts)}
+        for at, text in zip(starts, texts, strict=True):
+            own = g.row(text)
+            assert (got[at].reason, got[at].values, got[at].error_field) == (own.reason, own.values, own.error_field), texts
+    text = '12345678;"broken\n87654321;Оля\n12;Іра\n11111111;"Ян"'
+    df = spark.createDataFrame([(1, text), (2, "22222222;Ева"), (3, None)], "id long, t string")
+    got = R.parse_records(df, "t", F.lit(";"), F.array(F.lit("identifier"), F.lit("name")), ["id"]).collect()
+    assert [(r["id"], r["part_no"], r["reason"], r["typed"]) for r in got] == [
+        (1, 0, "quoting", None), (1, 1, None, ["87654321", "Оля"]), (1, 2, "value", None), (1, 3, None, ["11111111", "Ян"]), (2, 0, None, ["22222222", "Ева"]), (3, 0, "columns", None),
+    ]
+
+
+def test_closing_quotes_are_where_the_grammar_finds_them():
+    import re
+
+    rng, quoted = random.Random(6), re.compile(r'"((?:[^"]|"")*+)"')
+    for _ in range(500):
+        text = "".join(rng.choice('""a\n') for _ in range(rng.randint(1, 12)))
+        marks = R._Quotes(text)
+        for at, ch in enumerate(text):
+            if ch == '"':
+                m = quoted.match(text, at)
+                assert marks.closing(at) == (m.end() - 1 if m else None), (text, at)
+
+
+def test_recovery_scans_no_text_twice():
+    import time
+
+    g = R.RecordGrammar(";", ["identifier", "name"])
+    text = '12345678;"a\n' + '"x;y\n' * 40_000 + "87654321;Оля"
+    began = time.time()
+    got = list(g.blob(text))
+    assert time.time() - began < 20 and got[-1].values == ["87654321", "Оля"]
+
+
 def test_parsing_tables_keeps_clashing_columns_and_unknown_sources(spark):
     df = spark.createDataFrame([(1, "12345678;Іван", "s", "x"), (2, None, "s", None), (3, "a", "t", "y")], "record_id long, raw_text string, source_id string, reason_ string")
     sources = spark.createDataFrame([("s", ";", ["identifier", "name"])], "source_id string, field_sep string, column_types array<string>")
