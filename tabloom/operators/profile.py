@@ -16,20 +16,22 @@ without values has fill_rate 0 and null shares; an empty table gives no rows.
 
 from __future__ import annotations
 
-import json
-import os
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions import text as X
+from tabloom.session import Files
 
 #: Figures in which a load is held against the usual ones.
 FIGURES = ("fill_rate", "sentinel_share", "modal_share", "distinct_ratio", "shape_share", "outline_share")
-#: Halfway between what ordinary columns keep within (0.15) and what a departure is (0.3).
-DEPARTURE = 0.225
-#: Share of values outside the usual range that makes a departure.
-OUTSIDE = 0.4
+#: Difference from the usual figure that makes a departure; ordinary columns keep within half of it.
+DEPARTURE = 0.3
+#: Share of values outside the usual range beyond which most of them are there.
+OUTSIDE = 0.5
+#: Shapes of a catalogue up to which each is a branch of one expression; beyond, values are joined with theirs.
+BRANCHES = 1_000
 
 
 def value_counts(df: DataFrame, by: list[str], columns: list[str], sign: int = 1) -> DataFrame:
@@ -50,34 +52,60 @@ def merge_deltas(*tables: DataFrame) -> DataFrame:
 
 
 class ValueCountStore:
-    """Value-count tables kept in a shared folder, one generation per applied delta.
+    """Value-count tables kept in a shared folder, a segment per applied delta.
 
-    A generation is written whole before ``current.json`` names it, so a reader
-    or a lost executor never sees half of one.
+    A segment counts from the moment its writer has completed it. As deltas only
+    add up, several writers need no lock; a delta costs a shuffle of its own
+    rows, not of what is there. ``read`` sums the segments, and those of one
+    delta need no sum. ``compact`` replaces segments by their sum.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
-        self._pointer = os.path.join(folder, "current.json")
+        self.spark, self.folder, self._files = spark, folder.rstrip("/"), Files(spark, folder)
 
-    def generation(self) -> int:
-        try:
-            with open(self._pointer) as f:
-                return json.load(f)["generation"]
-        except FileNotFoundError:
-            return 0
+    def segments(self) -> list[str]:
+        """Complete segments that no compaction has replaced."""
+        done = [x for x in self._files.names() if x.startswith(("delta-", "sum-")) and self._files.exists(f"{x}/_SUCCESS")]
+        gone = {y for x in done if x.startswith("sum-") for y in self._files.read(f"{x}/_replaces").split()}
+        return [x for x in done if x not in gone]
 
     def read(self) -> DataFrame | None:
-        at = self.generation()
-        return self.spark.read.parquet(f"{self.folder}/g{at}") if at else None
-
-    def apply(self, delta: DataFrame) -> int:
-        at, now = self.generation() + 1, self.read()
-        (merge_deltas(now, delta) if now is not None else merge_deltas(delta)).write.mode("overwrite").parquet(f"{self.folder}/g{at}")
-        with open(f"{self._pointer}.new", "w") as f:
-            json.dump({"generation": at}, f)
-        os.replace(f"{self._pointer}.new", self._pointer)
-        return at
+        parts = [self.spark.read.parquet(f"{self.folder}/{x}") for x in self.segments()]
+        return None if not parts else parts[0].where("n <> 0") if len(parts) == 1 else merge_deltas(*parts)
+
+    def read_keys(self, keys: DataFrame) -> DataFrame:
+        """The counts of the given keys only; they are chosen before anything is summed."""
+        parts = [self.spark.read.parquet(f"{self.folder}/{x}").join(keys, keys.columns, "left_semi") for x in self.segments()]
+        return merge_deltas(*parts)
+
+    def apply(self, delta: DataFrame) -> str:
+        """Adds a signed delta (one row per key, column and value, as of ``value_counts``)."""
+        name = f"delta-{uuid.uuid4().hex}"
+        delta.write.parquet(f"{self.folder}/{name}")
+        return name
+
+    def compact(self) -> None:
+        """One segment in place of the present ones; what is applied meanwhile stays."""
+        old = self.segments()
+        if len(old) < 2:
+            return
+        name = uuid.uuid4().hex
+        merge_deltas(*[self.spark.read.parquet(f"{self.folder}/{x}") for x in old]).write.parquet(f"{self.folder}/new-{name}")
+        self._files.write(f"new-{name}/_replaces", "\n".join(old))
+        self._files.rename(f"new-{name}", f"sum-{name}")
+        for x in old:
+            self._files.delete(x)
+
+
+def refreshed(figures: DataFrame, store: ValueCountStore, touched: DataFrame, usual_shapes: DataFrame | None = None) -> DataFrame:
+    """``figures`` (of ``profiles``) after deltas for the keys ``touched``: only these are computed again.
+
+    Keys whose rows have all been taken back are gone. ``touched`` is small where
+    loads are (a row per key); without hint, Spark picks the join by its size.
+    """
+    keys = touched.distinct()
+    again = profiles(store.read_keys(keys), keys.columns, usual_shapes)
+    return figures.join(keys, keys.columns, "left_anti").unionByName(again)
 
 
 def bucket_of(value: Column) -> Column:
@@ -116,14 +144,11 @@ def _in_shape(value: Column, usual: Column, shapes: list[str], *, runs: bool) ->
     return out
 
 
-def usual_shape_numbers(usual_shapes: DataFrame, most: int = 10_000) -> tuple[list[str], DataFrame]:
-    """The distinct shapes of a catalogue of columns and the catalogue with their numbers.
-
-    It is metadata (a row per column of a source); more than ``most`` rows are refused.
-    """
+def usual_shape_numbers(usual_shapes: DataFrame, most: int = BRANCHES) -> tuple[list[str], DataFrame] | None:
+    """The distinct shapes of a catalogue of columns and the catalogue with their numbers; None beyond ``most`` columns."""
     rows = usual_shapes.limit(most + 1).collect()
     if len(rows) > most:
-        raise ValueError(f"a catalogue of more than {most} columns")
+        return None
     shapes = sorted({r["usual_shape"] for r in rows if r["usual_shape"] is not None})
     numbers = {x: k for k, x in enumerate(shapes)}
     keys = [c for c in usual_shapes.columns if c != "usual_shape"]
@@ -132,21 +157,26 @@ def usual_shape_numbers(usual_shapes: DataFrame, most: int = 10_000) -> tuple[li
     return shapes, usual_shapes.sparkSession.createDataFrame(numbered, schema)
 
 
-def profiles(counts: DataFrame, by: list[str], usual_shapes: DataFrame | None = None) -> DataFrame:
+def profiles(counts: DataFrame, by: list[str], usual_shapes: DataFrame | None = None, branches: int = BRANCHES) -> DataFrame:
     """ColumnProfile figures per key and column from a value-count table.
 
     ``usual_shapes`` (column keys, usual_shape) names the shape whose share is
-    reported; it is a catalogue of columns, checked to be small, and is broadcast.
-    Without it shape_share and outline_share are null.
+    reported. A catalogue of at most ``branches`` columns is broadcast and its
+    shapes are patterns; a larger one is joined as Spark sees fit, and the shape
+    of every value is computed. Without one shape_share and outline_share are null.
     """
-    n, value, shapes = F.col("n"), F.col("value"), []
+    n, value = F.col("n"), F.col("value")
     filled = value.isNotNull()
+    in_shape = in_outline = F.lit(None).cast("boolean")
     if usual_shapes is not None:
         on = [c for c in usual_shapes.columns if c != "usual_shape"]
-        shapes, numbered = usual_shape_numbers(usual_shapes)
-        counts = counts.join(F.broadcast(numbered), on, "left")
-    else:
-        counts = counts.withColumn("usual", F.lit(None).cast("int"))
+        small = usual_shape_numbers(usual_shapes, branches)
+        if small:
+            counts = counts.join(F.broadcast(small[1]), on, "left")
+            in_shape, in_outline = (_in_shape(value, F.col("usual"), small[0], runs=r) for r in (False, True))
+        else:
+            counts = counts.join(usual_shapes, on, "left").withColumn("shape", X.shape("value"))
+            in_shape, in_outline = F.col("shape") == F.col("usual_shape"), X.outline(F.col("shape")) == X.outline(F.col("usual_shape"))
     seen = counts.select(
         *by,
         "column_id",
@@ -154,8 +184,8 @@ def profiles(counts: DataFrame, by: list[str], usual_shapes: DataFrame | None =
         "value",
         bucket_of(value).alias("bucket"),
         X.is_placeholder("value").alias("sentinel"),
-        _in_shape(value, F.col("usual"), shapes, runs=False).alias("in_shape"),
-        _in_shape(value, F.col("usual"), shapes, runs=True).alias("in_outline"),
+        in_shape.alias("in_shape"),
+        in_outline.alias("in_outline"),
         F.length("value").alias("len"),
     )
     own = lambda flag: F.coalesce(F.sum(F.when(flag, n)), F.lit(0))

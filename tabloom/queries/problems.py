@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.operators import instants, packed, profile, records
-from tabloom.session import table
+from tabloom.session import cut, scratch, table
 
 #: Rows up to which a register of sources or columns counts as small.
 SMALL = 10_000
 CELLS = [f"c{k}" for k in range(14)]
 PACKED = ("c5", "c7", "c8", "c12")
+LOAD = ["source_id", "load_no"]
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
@@ -61,8 +62,15 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_canonical(spark, d).where("canon_ok").select("cell_id", "canon_value")
 
 
+def _store(spark: SparkSession, d: str) -> profile.ValueCountStore:
+    """The value-count tables of the registers: every load's rows as a delta of its key (source_id, load_no)."""
+    store = profile.ValueCountStore(spark, scratch(spark, "value-counts"))
+    store.apply(profile.value_counts(table(spark, d, "frame_rows"), LOAD, CELLS))
+    return store
+
+
 def _counts(spark: SparkSession, d: str) -> DataFrame:
-    return profile.value_counts(table(spark, d, "frame_rows"), ["source_id", "load_no"], CELLS)
+    return _store(spark, d).read()
 
 
 def _usual_shapes(spark: SparkSession, d: str) -> DataFrame:
@@ -72,7 +80,7 @@ def _usual_shapes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_departures(spark: SparkSession, d: str) -> DataFrame:
-    got = profile.profiles(_counts(spark, d), ["source_id", "load_no"], _usual_shapes(spark, d))
+    got = profile.profiles(_counts(spark, d), LOAD, _usual_shapes(spark, d))
     return profile.departures(got, ["source_id"]).drop("buckets")
 
 
@@ -80,16 +88,34 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_departures(spark, d).where("departs").select("source_id", "load_no", "column_id")
 
 
-def p3_profile(spark: SparkSession, d: str) -> DataFrame:
-    got = profile.profiles(_counts(spark, d), ["source_id", "load_no"])
+def _figures(got: DataFrame) -> DataFrame:
     return got.select(
-        "source_id", "load_no", "column_id", "row_count", "filled", "distinct_values", "min_len", "max_len",
+        *LOAD, "column_id", "row_count", "filled", "distinct_values", "min_len", "max_len",
         *[F.round(c, 6).alias(c) for c in ("fill_rate", "distinct_ratio", "modal_share", "entropy")],
     )
 
 
+def p3_profile(spark: SparkSession, d: str) -> DataFrame:
+    return _figures(profile.profiles(_counts(spark, d), LOAD))
+
+
+def p3_deltas(spark: SparkSession, d: str) -> DataFrame:
+    """The profile after two deltas: each source's last load is added, its load 1 taken back; only these are computed again."""
+    rows = table(spark, d, "frame_rows")
+    last = rows.groupBy("source_id").agg(F.max("load_no").alias("load_no"))
+    if last.limit(SMALL + 1).count() <= SMALL:
+        last = F.broadcast(last)
+    store = profile.ValueCountStore(spark, scratch(spark, "value-counts"))
+    store.apply(profile.value_counts(rows.join(last, LOAD, "left_anti"), LOAD, CELLS))
+    before = cut(profile.profiles(store.read(), LOAD))
+    store.apply(profile.value_counts(rows.join(last, LOAD, "left_semi"), LOAD, CELLS))
+    store.apply(profile.value_counts(rows.where("load_no = 1"), LOAD, CELLS, sign=-1))
+    touched = last.select(*LOAD).unionByName(rows.where("load_no = 1").select(*LOAD).distinct())
+    return _figures(profile.refreshed(before, store, touched))
+
+
 def p3_shapes(spark: SparkSession, d: str) -> DataFrame:
-    got = profile.top_shapes(_counts(spark, d), ["source_id", "load_no"], 5)
+    got = profile.top_shapes(_counts(spark, d), LOAD, 5)
     return got.select("source_id", "load_no", "column_id", F.posexplode("shapes").alias("place", "s")).select(
         "source_id", "load_no", "column_id", (F.col("place") + 1).alias("place"), F.col("s.shape").alias("shape"), F.round("s.share", 6).alias("share")
     )
@@ -113,14 +139,16 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_typed, p1_by_source, p2_found, p2_canonical, p3_found, p3_departures, p3_profile, p3_shapes, p6_found)
+    f.__name__: f for f in (p1_found, p1_typed, p1_by_source, p2_found, p2_canonical, p3_found, p3_departures, p3_profile, p3_deltas, p3_shapes, p6_found)
 }
 
 _LONG = " UNION ALL ".join(f"SELECT source_id, load_no, 'c{k}' AS column_id, nullif(trim(c{k}, ' ' || chr(9) || chr(13) || chr(10) || chr(160) || chr(8199) || chr(8239) || chr(12288)), '') AS value FROM frame_rows" for k in range(14))
-ORACLE: dict[str, str] = {
-    "p3_profile": f"""WITH v AS ({_LONG}), g AS (SELECT source_id, load_no, column_id, value, count(*) AS n FROM v GROUP BY ALL)
+_PROFILE = f"""WITH v AS ({_LONG}), g AS (SELECT source_id, load_no, column_id, value, count(*) AS n FROM v GROUP BY ALL)
 SELECT source_id, load_no, column_id, CAST(sum(n) AS BIGINT) AS row_count, CAST(coalesce(sum(n) FILTER (WHERE value IS NOT NULL), 0) AS BIGINT) AS filled, count(value) AS distinct_values,
 CAST(min(length(value)) AS INTEGER) AS min_len, CAST(max(length(value)) AS INTEGER) AS max_len, round(CAST(coalesce(sum(n) FILTER (WHERE value IS NOT NULL), 0) AS DOUBLE) / sum(n), 6) AS fill_rate,
 round(CAST(count(value) AS DOUBLE) / sum(n) FILTER (WHERE value IS NOT NULL), 6) AS distinct_ratio, round(CAST(max(n) FILTER (WHERE value IS NOT NULL) AS DOUBLE) / sum(n) FILTER (WHERE value IS NOT NULL), 6) AS modal_share,
-round(ln(sum(n) FILTER (WHERE value IS NOT NULL)) - sum(n * ln(n)) FILTER (WHERE value IS NOT NULL) / sum(n) FILTER (WHERE value IS NOT NULL), 6) AS entropy FROM g GROUP BY source_id, load_no, column_id""",
+round(ln(sum(n) FILTER (WHERE value IS NOT NULL)) - sum(n * ln(n)) FILTER (WHERE value IS NOT NULL) / sum(n) FILTER (WHERE value IS NOT NULL), 6) AS entropy FROM g GROUP BY source_id, load_no, column_id"""
+ORACLE: dict[str, str] = {
+    "p3_profile": _PROFILE,
+    "p3_deltas": f"SELECT * FROM ({_PROFILE}) WHERE load_no <> 1",
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable
 from pathlib import Path
@@ -45,18 +46,65 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The checkpoint folder all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests, ``local[n]``) is a folder of this machine taken.
+    The cluster names it in ``spark.checkpoint.dir``; where that is unset a
+    folder of this machine is taken by a local master (tests), and a cluster refused.
     """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if context._jsc.sc().getCheckpointDir().isDefined():
         return context._jsc.sc().getCheckpointDir().get()
+    if not named and not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is unset: a cluster needs a folder that its executors share")
     folder = named or tempfile.mkdtemp(prefix="tabloom-checkpoint-")
     context.setCheckpointDir(folder)
     return folder
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's name within the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+class Files:
+    """The few file operations needed on any file system that Spark reads."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self._jvm = spark.sparkContext._jvm
+        self.folder = folder.rstrip("/")
+        self._fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _path(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
+
+    def names(self, name: str = "") -> list[str]:
+        at = self._path(name)
+        return sorted(x.getPath().getName() for x in self._fs.listStatus(at)) if self._fs.exists(at) else []
+
+    def exists(self, name: str) -> bool:
+        return self._fs.exists(self._path(name))
+
+    def write(self, name: str, text: str) -> None:
+        out = self._fs.create(self._path(name), True)
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
+
+    def read(self, name: str) -> str:
+        at = self._path(name)
+        data = self._fs.open(at)
+        try:
+            return bytes(data.readNBytes(int(self._fs.getFileStatus(at).getLen()))).decode()
+        finally:
+            data.close()
+
+    def rename(self, old: str, new: str) -> bool:
+        return self._fs.rename(self._path(old), self._path(new))
+
+    def delete(self, name: str) -> None:
+        self._fs.delete(self._path(name), True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once into the shared checkpoint folder, lineage cut."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -178,7 +178,31 @@ def test_signed_deltas_keep_the_counts(spark, tmp_path):
     store.apply(P.value_counts(df.where("load_no = 1"), ["source_id"], ["c0", "c1"], sign=-1))
     want = P.value_counts(df.where("load_no IN (0, 2, 3)"), ["source_id"], ["c0", "c1"])
     key = lambda d: sorted((r["column_id"], r["value"] or "", r["n"]) for r in d.collect())
-    assert store.generation() == 5 and key(store.read()) == key(want)
+    assert len(store.segments()) == 5 and key(store.read()) == key(want)
+    store.compact()
+    assert len(store.segments()) == 1 and key(store.read()) == key(want)
+
+
+def test_a_delta_refreshes_what_it_touches(spark, tmp_path):
+    rows = [(s, load, f"{s}{i % 7}", None if i % 3 else "x") for s in "ab" for load in range(3) for i in range(20 + load)]
+    df = spark.createDataFrame(rows, "source_id string, load_no int, c0 string, c1 string")
+    by, cols = ["source_id", "load_no"], ["c0", "c1"]
+    store = P.ValueCountStore(spark, str(tmp_path / "counts"))
+    store.apply(P.value_counts(df.where("load_no < 2"), by, cols))
+    before = P.profiles(store.read(), by)
+    store.apply(P.value_counts(df.where("load_no = 2"), by, cols))
+    store.apply(P.value_counts(df.where("load_no = 0"), by, cols, sign=-1))
+    got = P.refreshed(before, store, df.where("load_no <> 1").select(*by).distinct()).collect()
+    want = P.profiles(P.value_counts(df.where("load_no > 0"), by, cols), by).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) == 8
+
+
+def test_a_large_catalogue_of_shapes_gives_the_same_shares(spark):
+    df = spark.createDataFrame([("s", v) for v in ("AB-12", "CD-3456", "абв", "A" * 12, "12", None)], "source_id string, c0 string")
+    usual = spark.createDataFrame([("s", "c0", "LL-dd")], "source_id string, column_id string, usual_shape string")
+    counts = P.value_counts(df, ["source_id"], ["c0"])
+    got = [P.profiles(counts, ["source_id"], usual, branches=b).select("shape_share", "outline_share").first() for b in (1000, 0)]
+    assert got[0] == got[1] == (0.2, 0.4)
 
 
 def test_shapes_and_their_patterns(spark):
