@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from tabloom.plans.facts import ColumnFacts
@@ -11,23 +12,38 @@ from tabloom.plans.model import Attachment, Binding, Decision, Entity, Plan, Rel
 from tabloom.plans.ontology import Ontology
 from tabloom.plans.shortlist import fold_text, spellings_of
 
-# Role words of headers, by the relation and the end that the named party is.
-ROLES = {
-    ("Ownership", "source"): ("власник", "власники", "судновласник", "owner", "owners", "балансоутримувач"),
-    ("Directorship", "source"): ("керівник", "директор", "chief", "director"),
-    ("ContractAward", "source"): ("учасник", "постачальник", "supplier", "переможець"),
-    ("Representation", "source"): ("provider", "посередник", "представник"),
-    ("CourtCaseParty", "source"): ("judge", "суддя"),
-    ("Organization:parent", "source"): ("філія", "філії", "підрозділ", "branch", "subunit", "subdivision"),
-    ("Membership", "target"): ("партія", "партії", "фракція", "фракції", "комісія", "party", "faction", "commission"),
-    ("Employment", "source"): ("employee", "працівник", "співробітник"),
-    ("Employment", "target"): ("місце роботи", "workplace", "роботодавець", "employer"),
-    ("Vehicle:operator", "target"): ("експлуатант", "operator", "фрахтувальник", "charterer"),
-    ("Debt", "source"): ("боржник", "debtor", "должник"),
-    ("Debt", "target"): ("стягувач", "creditor", "взыскатель"),
-}
-#: Level words of organisations, the coarsest first.
-LEVELS = ("військова частина", "в/ч", "підрозділ", "батальйон", "рота", "взвод", "відділення")
+@dataclass(frozen=True)
+class RoleWords:
+    """What the headers at hand call parties: configuration of the caller.
+
+    ``roles``: words by the relation and the end that the named party is (a property as ``Schema:prop``);
+    ``levels``: words of organisational levels, the coarsest first.
+    """
+
+    roles: Mapping[tuple[str, str], tuple[str, ...]]
+    levels: tuple[str, ...] = ()
+
+    def spelled(self) -> list[tuple[str, str, str]]:
+        """(word, relation, side), the longest word first."""
+        return sorted(((w, r, s) for (r, s), ws in self.roles.items() for w in ws), key=lambda x: (-len(x[0]), x[1], x[2]))
+
+
+#: Words of the registers that this project is tried on.
+DEFAULT_WORDS = RoleWords(
+    {
+        ("Debt", "source"): ("боржник", "debtor"),
+        ("Debt", "target"): ("стягувач", "кредитор", "creditor"),
+        ("Ownership", "source"): ("власник", "власниця", "holder", "owner"),
+        ("Directorship", "source"): ("директор", "управитель", "manager"),
+        ("ContractAward", "source"): ("підрядник", "виконавець робіт", "contractor"),
+        ("Employment", "target"): ("роботодавець", "employer"),
+        ("Employment", "source"): ("працівник", "employee"),
+        ("Membership", "target"): ("членство в", "member of"),
+        ("Vehicle:operator", "target"): ("перевізник", "carrier"),
+        ("Organization:parent", "source"): ("структурний підрозділ", "subsidiary"),
+    },
+    ("управління", "відділ", "сектор", "бригада"),
+)
 
 
 @dataclass(frozen=True)
@@ -42,11 +58,10 @@ def _has(text: str, word: str) -> int:
     return m.start() if m else -1
 
 
-def roles_in(text: str | None) -> list[Role]:
+def roles_in(text: str | None, words: RoleWords = DEFAULT_WORDS) -> list[Role]:
     """Role words of a text in its order, the longest first where they overlap, one per relation."""
     folded, taken, out = fold_text(text), [], []
-    every = sorted(((w, r, s) for (r, s), ws in ROLES.items() for w in ws), key=lambda x: (-len(x[0]), x[1], x[2]))
-    for word, relation, side in every:
+    for word, relation, side in words.spelled():
         at = _has(folded, word)
         if at >= 0 and not any(a < at + len(word) and at < b and (b - a) > len(word) for a, b in taken) and relation not in {r.relation for _, r in out}:
             taken.append((at, at + len(word)))
@@ -54,18 +69,18 @@ def roles_in(text: str | None) -> list[Role]:
     return [r for _, r in sorted(out, key=lambda x: (x[0], x[1].relation))]
 
 
-def role_of(column: ColumnFacts) -> Role | None:
+def role_of(column: ColumnFacts, words: RoleWords = DEFAULT_WORDS) -> Role | None:
     for text in (column.header, column.label, column.group):
-        found = roles_in(text)
+        found = roles_in(text, words)
         if found:
             return found[0]
     return None
 
 
-def level_rank(header: str | None) -> int | None:
+def level_rank(header: str | None, words: RoleWords = DEFAULT_WORDS) -> int | None:
     """How fine an organisational level a header names; None if none."""
     folded = fold_text(header)
-    ranks = [k for k, w in enumerate(LEVELS) if _has(folded, w) >= 0]
+    ranks = [k for k, w in enumerate(words.levels) if _has(folded, w) >= 0]
     return max(ranks) if ranks else None
 
 
@@ -113,14 +128,14 @@ def party_schema(c: ColumnFacts) -> str | None:
     return "LegalEntity" if c.text_share >= 0.5 else None
 
 
-def declare_parties(plan: Plan, columns: list[ColumnFacts]) -> None:
+def declare_parties(plan: Plan, columns: list[ColumnFacts], words: RoleWords = DEFAULT_WORDS) -> None:
     """Columns of names whose header names a role become parties of their own, keyed and named on them."""
     used = {b.column for b in plan.bindings} | {k for e in plan.entities for k in e.keys}
     for c in columns:
-        role = role_of(c)
+        role = role_of(c, words)
         if role is None or c.id in used:
             continue
-        schema = "Organization" if level_rank(c.header) is not None else party_schema(c)
+        schema = "Organization" if level_rank(c.header, words) is not None else party_schema(c)
         if schema is None or c.text_share < 0.5:
             continue
         key = _unique(plan, role.word.split()[0])
@@ -189,12 +204,12 @@ def _position(plan: Plan, key: str, facts: dict[str, ColumnFacts]) -> int:
     return min((facts[k].index for k in e.keys if k in facts), default=0) if e else 0
 
 
-def derive_relations(plan: Plan, columns: list[ColumnFacts], onto: Ontology) -> None:
+def derive_relations(plan: Plan, columns: list[ColumnFacts], onto: Ontology, words: RoleWords = DEFAULT_WORDS) -> None:
     """Each party's role words state an edge or an entity property to its counterpart on the row."""
     facts = {c.id: c for c in columns}
-    row = next((e for e in plan.entities if not any(role_of(facts[k]) for k in e.keys if k in facts)), None)
+    row = next((e for e in plan.entities if not any(role_of(facts[k], words) for k in e.keys if k in facts)), None)
     for e in list(plan.entities):
-        role = next((role_of(facts[k]) for k in e.keys if k in facts and role_of(facts[k])), None)
+        role = next((role_of(facts[k], words) for k in e.keys if k in facts and role_of(facts[k], words)), None)
         if role is None or role.relation == "Debt":
             continue
         relation, _, prop = role.relation.partition(":")
@@ -217,10 +232,10 @@ def derive_relations(plan: Plan, columns: list[ColumnFacts], onto: Ontology) ->
         plan.edges.append(Relation(_unique(plan, relation.lower()), relation, source, target))
 
 
-def derive_debts(plan: Plan, columns: list[ColumnFacts], onto: Ontology) -> None:
+def derive_debts(plan: Plan, columns: list[ColumnFacts], onto: Ontology, words: RoleWords = DEFAULT_WORDS) -> None:
     """Debtor to creditor; without a creditor the nearest body that has no role."""
     facts = {c.id: c for c in columns}
-    role = {e.key: next((role_of(facts[k]) for k in e.keys if k in facts and role_of(facts[k])), None) for e in plan.entities}
+    role = {e.key: next((role_of(facts[k], words) for k in e.keys if k in facts and role_of(facts[k], words)), None) for e in plan.entities}
     debtors = [k for k, r in role.items() if r and r.relation == "Debt" and r.side == "source"]
     creditors = [k for k, r in role.items() if r and r.relation == "Debt" and r.side == "target"]
     for d in debtors:
@@ -230,15 +245,14 @@ def derive_debts(plan: Plan, columns: list[ColumnFacts], onto: Ontology) -> None
             plan.edges.append(Relation(_unique(plan, "debt"), "Debt", d, c))
 
 
-def bind_edge_properties(plan: Plan, columns: list[ColumnFacts], onto: Ontology) -> None:
+def bind_edge_properties(plan: Plan, columns: list[ColumnFacts], onto: Ontology, words: RoleWords = DEFAULT_WORDS) -> None:
     """An unbound column whose header, without the ends' words, spells one property of one relation."""
     used = {b.column for b in plan.bindings} | {k for e in plan.entities for k in e.keys}
-    words = {w for ws in ROLES.values() for w in ws}
     for c in columns:
         if c.id in used:
             continue
         header = fold_text(c.header)
-        for w in sorted(words, key=len, reverse=True):
+        for w, *_ in words.spelled():
             header = re.sub(rf"(?<!\w){re.escape(w)}(?!\w)", " ", header)
         header = " ".join(header.split())
         fits = [(r, p) for r in plan.edges for p in onto.props(r.schema).values() if header in spellings_of(onto, r.schema, p.name)]

@@ -31,6 +31,7 @@ class Context:
     frame: DataFrame
     columns: list[ColumnFacts]
     onto: Ontology = field(default_factory=default)
+    words: R.RoleWords = R.DEFAULT_WORDS
     strengths: dict[tuple[str, str, str], float] = field(default_factory=dict)
 
     def facts(self, column: str) -> ColumnFacts | None:
@@ -190,7 +191,7 @@ def floor_keys(plan: Plan, ctx: Context) -> None:
 def split_folded_parties(plan: Plan, ctx: Context) -> None:
     """Two role-worded name columns on one party that mostly differ are two parties."""
     for e in list(plan.entities):
-        named = [b for b in plan.bindings if b.entity == e.key and b.prop.endswith(":name") and ctx.facts(b.column) and R.role_of(ctx.facts(b.column))]
+        named = [b for b in plan.bindings if b.entity == e.key and b.prop.endswith(":name") and ctx.facts(b.column) and R.role_of(ctx.facts(b.column), ctx.words)]
         if len(named) == 2:
             share = S.disagreement(ctx.frame, named[0].column, named[1].column).first()["differ_share"]
             if share is not None and share > 0.5:
@@ -231,7 +232,7 @@ def _become(plan: Plan, e: Entity, schema: str) -> None:
 def declare_contract(plan: Plan, ctx: Context) -> None:
     """A supplier beside procurement words makes a contract, keyed on its link or else the row."""
     words = " ".join(fold_text(c.header) for c in ctx.columns)
-    supplier = any(r.relation == "ContractAward" for c in ctx.columns for r in R.roles_in(c.header))
+    supplier = any(r.relation == "ContractAward" for c in ctx.columns for r in R.roles_in(c.header, ctx.words))
     if supplier and re.search(r"закупівл|procurement|договор|contract|cpv", words) and not any(e.schema == "Contract" for e in plan.entities):
         link = next((c.id for c in ctx.columns if c.rate("url") >= 0.9 and c.fill_rate >= KEY_FILL), None)
         plan.entities.append(Entity(R._unique(plan, "contract"), "Contract", [link] if link else []))
@@ -253,7 +254,7 @@ def declare_identification(plan: Plan, ctx: Context) -> None:
 
 def nest_organisations(plan: Plan, ctx: Context) -> None:
     """Organisations of level columns refer to the next coarser one that (nearly) determines them."""
-    levels = [(R.level_rank(ctx.facts(e.keys[0]).header), e) for e in plan.entities if len(e.keys) == 1 and ctx.facts(e.keys[0]) and ctx.onto.is_a(e.schema, "Organization")]
+    levels = [(R.level_rank(ctx.facts(e.keys[0]).header, ctx.words), e) for e in plan.entities if len(e.keys) == 1 and ctx.facts(e.keys[0]) and ctx.onto.is_a(e.schema, "Organization")]
     levels = sorted([(r, e) for r, e in levels if r is not None], key=lambda x: (x[0], ctx.facts(x[1].keys[0]).index))
     for (ra, a), (rb, b) in zip(levels, levels[1:], strict=False):
         if ra == rb:
@@ -394,7 +395,7 @@ def apply_overrides(plan: Plan, overrides: dict[str, dict], ctx: Context) -> Non
 
 
 ADDITIVE = (
-    lambda p, c: R.declare_parties(p, c.columns), lambda p, c: R.declare_address_block(p, c.columns, c.onto), lambda p, c: R.declare_places(p, c.columns, c.onto),
+    lambda p, c: R.declare_parties(p, c.columns, c.words), lambda p, c: R.declare_address_block(p, c.columns, c.onto), lambda p, c: R.declare_places(p, c.columns, c.onto),
     split_folded_parties, declare_contract, split_redacted_key, specialise_coded_party, declare_identification, merge_group_twins,
 )
 LATER = (
@@ -402,8 +403,8 @@ LATER = (
     lambda p, c: R.bind_by_detector(p, c.columns, c.onto),
 )
 LAST = (
-    nest_organisations, lambda p, c: R.derive_relations(p, c.columns, c.onto), lambda p, c: R.derive_debts(p, c.columns, c.onto), key_relation_on_record,
-    lambda p, c: R.bind_edge_properties(p, c.columns, c.onto), dissolve_relation_things,
+    nest_organisations, lambda p, c: R.derive_relations(p, c.columns, c.onto, c.words), lambda p, c: R.derive_debts(p, c.columns, c.onto, c.words), key_relation_on_record,
+    lambda p, c: R.bind_edge_properties(p, c.columns, c.onto, c.words), dissolve_relation_things,
 )
 
 

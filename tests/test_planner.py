@@ -17,7 +17,7 @@ def built(spark, rows):
 
 
 def people(n=12):
-    names = ["Коваленко Іван Петрович", "Шевченко Ольга Іванівна", "Петренко Марія Степанівна", "Бондар Олег Юрійович"]
+    names = ["Довгопалий Нестор Юхимович", "Заквітна Мотря Гордіївна", "Тихолоз Килина Панасівна", "Верболіз Овсій Хомич"]
     rows = [["ПІБ", "Дата народження", "Електронна пошта", "Примітка"]]
     for i in range(n):
         rows.append([f"{names[i % 4]}", f"{1 + i:02d}.03.19{60 + i}", f"p{i}@mail.test", "" if i % 3 else "так"])
@@ -37,7 +37,7 @@ def test_header_similarity_units_and_roles():
     assert H.token_set_ratio("дата народження", "народження дата") == 1.0 and H.token_set_ratio("", "x") == 0.0
     assert H.declared_unit("Довжина, м") == "length" and H.contradicts("Довжина, м", "amount") and not H.contradicts("Сума, грн", "amount")
     assert H.is_machinery("Unnamed: 3") and not H.is_machinery("Назва")
-    assert [r.relation for r in R.roles_in("Власник / фрахтувальник")] == ["Ownership", "Vehicle:operator"]
+    assert [r.relation for r in R.roles_in("Власник / перевізник")] == ["Ownership", "Vehicle:operator"]
     assert R.nearest_in_range(3, [("a", 2), ("b", 4)]) is None and R.nearest_in_range(3, [("a", 1), ("b", 4)]) == "b"
     assert H.label_of({"Thing:name": "Назва"}, ONTO, "Person:name") == "Назва"
 
@@ -69,7 +69,7 @@ def test_bindings_are_checked_against_values(spark):
 
 
 def test_parties_and_relations_come_from_headers(spark):
-    rows = [["Назва судна", "Власник", "Директор"]] + [[f"Судно Альфа-{i}", f"ТОВ Ромашка {'АБВГД'[i % 5]}{'їжа'[i % 3]}", "Іваненко Іван Іванович" if i % 2 else "Петренко Ольга Іванівна"] for i in range(10)]
+    rows = [["Назва судна", "Власник", "Директор"]] + [[f"Судно Альфа-{i}", f"ТОВ Чебрець {'АБВГД'[i % 5]}{'їжа'[i % 3]}", "Гарбузняк Лука Юхимович" if i % 2 else "Заквітна Мотря Гордіївна"] for i in range(10)]
     f, facts = built(spark, rows)
     plan = Plan("Vessel", [Entity("vessel", "Vessel", ["c0"])], [], [Binding("c0", "Vessel:name", "vessel", "name")])
     got = V.validate(plan, V.Context(f.rows, facts))

@@ -14,7 +14,7 @@ from tabloom.streaming import arrivals
 
 
 def test_a_file_becomes_a_committed_graph(spark, tmp_path):
-    names = ["Коваленко Іван Петрович", "Шевченко Ольга Іванівна", "Петренко Марія Степанівна"]
+    names = ["Довгопалий Нестор Юхимович", "Заквітна Мотря Гордіївна", "Тихолоз Килина Панасівна"]
     lines = ["ПІБ;Дата народження;Електронна пошта"] + [f"{names[i % 3]};0{1 + i}.03.196{i};p{i}@mail.test" for i in range(9)]
     (tmp_path / "in.csv").write_text("\n".join(lines))
     w = Workspace(tmp_path / "work")
