@@ -59,11 +59,18 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.encode_texts(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("row_id", "doc_id")
+    return tokens.encode_texts(table(spark, d, "documents"), ["doc_id"], "text")
+
+
+def p8_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Every text's letters alone, four times over: a run that the tokenizer doesn't split, encoded by several tasks from 2,048 letters on."""
+    letters = F.repeat(F.regexp_replace("text", r"[^\p{L}]", ""), F.lit(4))
+    df = table(spark, d, "documents").select("doc_id", letters.alias("run"))
+    return tokens.encode_texts(df, ["doc_id"], "run", spread=2_048)
 
 
 def _sizes(spark: SparkSession, d: str) -> DataFrame:
-    counts = tokens.token_counts(table(spark, d, "documents"), "doc_id", "text", ["doc_id", "source"])
+    counts = tokens.token_counts(table(spark, d, "documents"), "text", ["doc_id", "source"])
     return mixing.sized(counts, "doc_id", "source")
 
 
@@ -92,6 +99,6 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p4_found, p5_found, p5_unmatched, p7_found, p8_ids, p9_mix, p9_shares, p10_found, p10_scores, p10_rates)
+    f.__name__: f for f in (p4_found, p5_found, p5_unmatched, p7_found, p8_ids, p8_runs, p9_mix, p9_shares, p10_found, p10_scores, p10_rates)
 }
 ORACLE: dict[str, str] = {}

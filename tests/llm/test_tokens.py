@@ -32,6 +32,7 @@ def test_tree_concatenation_is_exact_at_any_leaf():
             if leaf < 17 and len(text) > 1500:
                 continue
             assert encoder.encode(text) == ids(text), (leaf, text[:80])
+            assert encoder.tree([encoder.piece(text[i : i + leaf]) for i in range(0, len(text), leaf)]).ids == ids(text), (leaf, text[:80])
             assert encoder.encoding.encode_ordinary(text) == ids(text)
 
 
@@ -44,5 +45,16 @@ def test_long_texts_are_cut_over_tasks(spark):
     ids = reference()
     rows = [(1, "word " * 50), (2, None), (3, ""), (4, "a" * 700 + " b" * 300), (5, "x" * 64), (6, "x" * 65)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["row_id"]: list(r["ids"]) for r in T.encode_texts(df, "doc_id", "text", leaf=64).collect()}
+    got = {r["doc_id"]: list(r["ids"]) for r in T.encode_texts(df, ["doc_id"], "text", leaf=16, spread=64).collect()}
     assert got == {i: ids(t or "") for i, t in rows}
+
+
+def test_repeated_rows_come_out_as_often_and_tasks_agree_on_runs(spark):
+    ids = reference()
+    rng = random.Random(3)
+    run = "".join(rng.choice("абвгд") for _ in range(3000))
+    df = spark.createDataFrame([(1, "s", run), (1, "s", run), (1, "t", run), (1, "s", run[1:])], "doc_id long, ids_of string, text string")
+    got = sorted((r["ids_of"], list(r["ids"])) for r in T.encode_texts(df, ["doc_id", "ids_of"], "text", spread=256).collect())
+    assert got == sorted([("s", ids(run)), ("s", ids(run)), ("t", ids(run)), ("s", ids(run[1:]))])
+    assert [r["n_tokens"] for r in T.token_counts(df.where("ids_of = 't'"), "text", ["doc_id"], spread=256).collect()] == [len(ids(run))]
+    assert T.encode_texts(df.limit(0), ["doc_id"], "text").count() == 0
