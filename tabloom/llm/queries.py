@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tabloom.llm import lookalike, lookup, mixing, names, tokens, toxicity
 from tabloom.operators.packed import RULES
-from tabloom.session import table
+from tabloom.session import cut, table
 
 CELLS = [f"c{k}" for k in range(14)]
 #: Rows up to which a register of sources counts as small.
@@ -29,17 +29,28 @@ def _typed(spark: SparkSession, d: str) -> DataFrame:
     return df.unpivot(["decision_id", "entity_key"], ["header", "prop"], "field_name", "typed")
 
 
+def _mapped(spark: SparkSession, d: str, keep: list[str]) -> DataFrame:
+    """Every typed value under its entry; aliases come from what was entered beside each other in one decision."""
+    entries = lookup.read_catalogue(table(spark, d, "prop_catalogue"))
+    aliases = lookup.mine_aliases(table(spark, d, "decisions"), "header", "prop", "entity_key", entries)
+    return lookup.map_to_catalogue(_typed(spark, d), "typed", "entity_key", entries, keep, cut(aliases))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    got = lookup.map_to_catalogue(_typed(spark, d), "typed", "entity_key", table(spark, d, "prop_catalogue"), ["decision_id", "field_name"])
-    return got.select("decision_id", "field_name", "qname")
+    return _mapped(spark, d, ["decision_id", "field_name"]).select("decision_id", "field_name", "qname")
 
 
 def p5_unmatched(spark: SparkSession, d: str) -> DataFrame:
     """How often each unmatched value was typed."""
-    got = lookup.map_to_catalogue(_typed(spark, d), "typed", "entity_key", table(spark, d, "prop_catalogue"), ["field_name", "typed"])
+    got = _mapped(spark, d, ["field_name", "typed"])
     return got.where(F.col("qname") == lookup.UNMATCHED).groupBy("field_name", "typed").agg(F.count(F.lit(1)).alias("n"))
 
 
+def p5_aliases(spark: SparkSession, d: str) -> DataFrame:
+    """The aliases that the decisions give."""
+    return lookup.mine_aliases(table(spark, d, "decisions"), "header", "prop", "entity_key", lookup.read_catalogue(table(spark, d, "prop_catalogue")))
+
+
 def _blank_separated(spark: SparkSession, d: str) -> DataFrame:
     """Per source the columns whose type takes blanks as separators of packed values."""
     types = [name for name, rule in RULES.items() if " " in rule.separators]
@@ -99,6 +110,6 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p4_found, p5_found, p5_unmatched, p7_found, p8_ids, p8_runs, p9_mix, p9_shares, p10_found, p10_scores, p10_rates)
+    f.__name__: f for f in (p4_found, p5_found, p5_unmatched, p5_aliases, p7_found, p8_ids, p8_runs, p9_mix, p9_shares, p10_found, p10_scores, p10_rates)
 }
 ORACLE: dict[str, str] = {}

@@ -87,10 +87,28 @@ CATALOGUE = [("A:birthDate", "A", "birthDate", "Birth date", "Дата наро
 def test_values_find_their_entry(spark):
     df = spark.createDataFrame([(i, t, g) for i, (t, g) in enumerate([("Birth date", None), ("date, Birth *", None), ("БІРТ", None), ("7. Brith date", None), ("д-та народж.", None), ("a:deathdate", None), ("Model", "b"), ("Model", None), ("", None), ("12", None), ("x" * 5000, None), (None, None)])], "id long, t string, g string")
     cat = spark.createDataFrame(CATALOGUE, "qname string, schema_name string, prop_name string, label string, label_uk string")
-    got = {r["id"]: r["qname"] for r in U.map_to_catalogue(df, "t", "g", cat, ["id"]).collect()}
+    got = {r["id"]: r["qname"] for r in U.map_to_catalogue(df, "t", "g", U.read_catalogue(cat), ["id"]).collect()}
     assert got == {0: "A:birthDate", 1: "A:birthDate", 2: "unmatched", 3: "A:birthDate", 4: "A:birthDate", 5: "A:deathDate", 6: "B:model", 7: "unmatched", 8: "unmatched", 9: "unmatched", 10: "unmatched"}
 
 
+def test_many_words_are_found_in_any_order():
+    c = U.Catalogue([{"qname": "A:x", "schema_name": "A", "prop_name": "x", "label": "date of first entry here", "label_uk": None}])
+    assert c.find("entry of date here first") == ("A:x", 0) and c.find("entrry of dtae here first") == ("A:x", 2)
+    assert c.find("entry of date here") == (U.UNMATCHED, -1) and c.find("a entry of date here first") == ("A:x", 0)
+
+
+def test_aliases_come_from_neighbours_and_need_agreement(spark):
+    cat = U.read_catalogue(spark.createDataFrame(CATALOGUE, "qname string, schema_name string, prop_name string, label string, label_uk string"))
+    rows = [("Entered the world", "birthDate")] * 3 + [("left us", "Death date"), ("left us", None), ("zzz", "birthDate"), ("zzz", "deathDate"), (None, "birthDate")]
+    df = spark.createDataFrame(rows, "h string, p string").withColumn("g", F.lit(None).cast("string"))
+    got = U.mine_aliases(df, "h", "p", "g", cat)
+    assert [tuple(r) for r in got.collect()] == [("A:birthDate", "entered the world", 3)]
+    for most in (10, 0):
+        found = [r["qname"] for r in U.map_to_catalogue(df, "h", "g", cat, ["h"], got, most_aliases=most).orderBy("h").collect()]
+        assert found == ["A:birthDate"] * 3 + ["unmatched"] * 4
+    assert U.mine_aliases(df.limit(0), "h", "p", "g", cat).count() == 0
+
+
 def test_the_automaton_agrees_with_brute_force():
     rng, trie, words = random.Random(2), U.Trie(), set()
     for _ in range(200):
