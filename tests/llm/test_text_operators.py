@@ -166,7 +166,7 @@ def test_mixes_reach_their_shares(spark):
     sizes = M.sized(df, "doc_id", "source")
     plans = M.plan_mix(sizes, targets)
     mixed = M.mix(sizes, plans)
-    for p in plans:
+    for p in plans.collect():
         # Brute force: documents in the order of their hash, as many as fit.
         have = sorted((r["key"], r["n_tokens"]) for r in sizes.where(F.col("source") == p.source).collect())
         left, taken = p.budget - p.passes * sum(n for _, n in have), 0
@@ -182,6 +182,16 @@ def test_mixes_reach_their_shares(spark):
     assert M.mix(sizes.limit(0), M.plan_mix(sizes.limit(0), targets)).count() == 0
 
 
+def test_equal_hashes_are_told_apart_by_their_ids(spark):
+    rows = [(i, "a", 5, 10) for i in range(8)] + [(20, "a", 4, 7), (21, "a", 9, 1), (3, "a", 5, 10)]
+    sizes = spark.createDataFrame(rows, "doc_id long, source string, key long, n_tokens long")
+    budgets = lambda n: spark.createDataFrame([("a", n)], "source string, budget long")
+    # The row of key 4, then ids 0, 1, 2; both rows of id 3 are too many for 45 tokens.
+    assert tuple(M.thresholds(sizes, budgets(45)).first()) == ("a", 5, 2, 37)
+    assert tuple(M.thresholds(sizes, budgets(57)).first()) == ("a", 5, 3, 57)
+    assert M.thresholds(sizes, budgets(3)).first()["reached"] == 0 and M.thresholds(sizes, budgets(98)).first()["reached"] == 98
+
+
 def corpus(n=600):
     rng, docs = random.Random(6), []
     bad = {"abusive": ["you stupid cow shut your mouth", "drown yourself you worthless rat"], "hateful": ["all oskeni are vermin and thieves", "burn the houses of the tarashi"], "sexual": ["send me nudes i want your body", "get naked with me tonight"]}
