@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tabloom.llm import lookalike as A
@@ -233,11 +234,34 @@ def test_disguised_words_are_read():
 
 def test_segments_are_the_maximal_ones():
     rng = random.Random(8)
-    m = X.Model(scores={"c": {}}, scale={"c": 1.0}, factor={"c": 0.1})
     for _ in range(200):
         s = [rng.choice([-2.0, -1.0, 1.0, 2.0]) for _ in range(12)]
-        m.scores["c"] = {str(i): x for i, x in enumerate(s)}
-        got = m.passages([str(i) for i in range(12)], "c")
+        got = X.passages(np.array(s))
         best = max((sum(s[a:b]) for a in range(12) for b in range(a + 1, 13)), default=0)
         assert max((x[2] for x in got), default=0.0) == max(best, 0.0)
         assert all(abs(sum(s[a:b]) - x) < 1e-9 for a, b, x in got)
+    assert X.passages(np.zeros(0)) == []
+
+
+def test_several_passages_weigh_more_than_one_and_weak_ones_nothing():
+    one, weak, two = X.significance([9.0]), X.significance([9.0, 1.0, 0.5]), X.significance([9.0, 8.0])
+    assert one == weak and one[1] == 1 and two[0] > one[0] and two[1] == 2
+    assert X.significance([]) == X.significance([-3.0]) == (0.0, 0)
+
+
+def test_lambda_is_the_root_of_its_equation():
+    scores, weights = np.array([-1.0, 2.0, -2.0]), np.array([70, 5, 25])
+    x = X._root(scores, weights)
+    assert abs((weights / 100 * np.exp(x * scores)).sum() - 1) < 1e-9
+
+
+def test_numbers_of_words_and_pairs():
+    lexis = X.Lexis(["a", "b", "a b"])
+    assert lexis.numbers(["a", "b", "x", "a"]).tolist() == [2, 4, 3, X.NO_PAIR, X.NO_WORD, X.NO_PAIR, 2] and len(lexis.numbers([])) == 0
+
+
+def test_the_labelled_sample_keeps_its_bounds(spark):
+    df = spark.createDataFrame([(i, "abc def") for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, "none") for i in range(20)] + [(3, "sexual")], "doc_id long, category string")
+    assert len(X.labelled_sample(df, labels, "doc_id", "text", 5)) == 5 and len(X.labelled_sample(df, labels, "doc_id", "text", 50, 36)) == 5
+    assert len(X.labelled_sample(df, labels, "doc_id", "text")) == 20
