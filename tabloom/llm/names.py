@@ -7,11 +7,13 @@
 3. A key of length n is cut into k + 1 segments (k edits allowed, by length;
    a swap of neighbours is one). A key within k edits keeps one segment, at a
    place shifted by at most k, unchanged but for a swap across its left border:
-   the segments of the shorter keys make the inverted index, and
-   position-shifted substrings of the others, as they stand and with such a
-   swap undone, look them up. The look-up key also
-   holds what two rows of one party must share (the birth date; else the place),
-   so a popular syllable never gathers all names that have it.
+   segments make the inverted index, and position-shifted substrings of other
+   keys, as they stand and with such a swap undone, look them up. The look-up
+   key also holds what two rows of one party must share: the birth date; else
+   the place (and the trade). Rows that have neither are linked by fewer edits
+   only: one, so that segments are half names, or two beside the same given
+   name, which is then part of the look-up key. So a popular syllable never
+   gathers all names that have it.
 4. Candidates are verified with the banded edit distance, then field by field.
 
 Defined results: null, blank and letterless names link to nothing; rows without
@@ -23,11 +25,13 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator, Mapping
+from dataclasses import dataclass, field, replace
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.session import cut, map_batches
@@ -72,8 +76,8 @@ FORMS = {
     "пп": ("пп", "п/п", "п п", "прив підпр", "приватне підприємство", "чп", "pp"),
     "фг": ("фг", "ф/г", "ф г", "ферм госп", "фермерське господарство", "фх", "fh"),
 }
-# Trade words of organisations.
-TRADES = ("пром", "сервіс", "енерго", "проект", "агро", "лізинг", "буд", "порт", "транс", "торг")
+#: Share of the organisations' rows from which a word is a trade and no name.
+TRADE_SHARE = 0.01
 
 _NOISE = re.compile(r"\((?:не діє|ліквідовано|недіюч\w*|ex)\)|^\s*(?:гр(?:омадян(?:ин|ка))?\.?|п(?:ан|ані)\.?|фоп)\s+(?=\w)", re.IGNORECASE)
 _PATRONYMIC = re.compile(r"(?:[oeE]v[yi]T|[iyoeE]vna|yTna)$")
@@ -124,7 +128,7 @@ def osa(a: str, b: str, most: int) -> int:
 class NameReader:
     """Reads typed names into fields; its lexicon is parameters."""
 
-    def __init__(self, given: dict[str, str] = GIVEN, forms: dict[str, tuple] = FORMS, trades: tuple = TRADES):
+    def __init__(self, given: Mapping[str, str] = GIVEN, forms: Mapping[str, tuple] = FORMS, trades: Iterable[str] = ()):
         self.given: dict[str, set[str]] = {}
         for name, others in given.items():
             for form in (name, *others.split()):
@@ -132,7 +136,7 @@ class NameReader:
         self.full = {sounds(x) for x in given}
         spelled = [(re.sub(r"[^\w/]+", " ", text).split(), form) for form, texts in forms.items() for text in texts]
         self.forms = sorted(spelled, key=lambda x: -sum(map(len, x[0])))
-        self.trades = {sounds(x): x for x in trades}
+        self.trades = {t: x for x in trades if (t := sounds(x))}
         self._given_cache: dict[str, frozenset[str]] = {}
 
     def given_of(self, word: str) -> frozenset[str]:
@@ -167,20 +171,21 @@ class NameReader:
         return None, words
 
     def trade_of(self, word: str) -> str | None:
+        """The trades that a word may stand for, joined by ``|``: itself, or all that it abbreviates or nearly is."""
         if word in self.trades:
             return word
-        for t in self.trades:
-            if len(word) >= 3 and (t.startswith(word) or osa(word, t, 1) <= 1):
-                return t
-        return None
+        near = sorted(t for t in self.trades if len(word) >= 3 and (t.startswith(word) or osa(word, t, 1) <= 1))
+        return "|".join(near) or None
 
-    def organisation(self, text: str) -> dict:
+    def parts(self, text: str) -> tuple[str | None, list[str]]:
+        """The legal form of an organisation's name and its other words."""
         plain = re.sub(r"[«»“”\"„,]+", " ", _NOISE.sub(" ", text.lower()))
         words = re.sub(r"[^\w/'’ʼ]+", " ", plain).split()
-        form, words = self.form_of(words)
-        if form is None:
-            glued = " ".join(words)
-            form, words = self.form_of(glued.replace("/", " ").split())
+        form, rest = self.form_of(words)
+        return self.form_of(" ".join(words).replace("/", " ").split()) if form is None else (form, rest)
+
+    def organisation(self, text: str) -> dict:
+        form, words = self.parts(text)
         keys, trade = [], None
         for w in (sounds(x) for x in words):
             t = self.trade_of(w) if trade is None and len(words) > 1 else None
@@ -256,12 +261,47 @@ def day_of(text: str | None) -> str:
 FIELDS = ["kind", "keys", "given", "patronymic", "form", "trade", "birth", "place", "reg"]
 
 
-def read_names(df: DataFrame, row_id: str, name: str, kind: str, birth: str, place: str, reg: str) -> DataFrame:
-    """row_id and the fields of each readable name; a narrow map."""
+@dataclass(frozen=True)
+class Lexicon:
+    """What is known of names: forms of given names, of legal forms, and trade words. Tables of the caller's."""
+
+    given: Mapping[str, str] = field(default_factory=lambda: GIVEN)
+    forms: Mapping[str, tuple] = field(default_factory=lambda: FORMS)
+    trades: tuple[str, ...] = ()
+
+    def reader(self) -> NameReader:
+        return NameReader(self.given, self.forms, self.trades)
+
+
+def mine_trades(df: DataFrame, name: str, kind: str, lexicon: Lexicon = Lexicon(), share: float = TRADE_SHARE) -> Lexicon:
+    """The lexicon with the words that at least ``share`` of the organisations' rows hold beside others: their trades.
+
+    Counted over all rows; by the share, at most a name's words / ``share`` of them reach the driver.
+    """
+    source = df.where((F.col(kind) == "organisation") & F.col(name).isNotNull()).select(F.col(name).cast("string").alias("n"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reader, counts = lexicon.reader(), Counter()
+        for pdf in batches:
+            for text in pdf["n"]:
+                words = {w for w in map(sounds, reader.parts(text)[1]) if len(w) >= 3}
+                counts.update({*(words if len(words) > 1 else ()), ""})
+        if counts:
+            yield pd.DataFrame({"word": list(counts), "n": list(counts.values())})
+
+    counted = map_batches(source, run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    total = counted.where("word = ''").agg(F.sum("n").alias("n")).first()["n"] or 0
+    often = counted.where((F.col("word") != "") & (F.col("n") >= F.lit(max(2.0, share * total)))).collect()
+    return replace(lexicon, trades=tuple(sorted({*lexicon.trades, *(r["word"] for r in often)})))
+
+
+def read_names(df: DataFrame, row_id: str, name: str, kind: str, birth: str, place: str, reg: str, lexicon: Lexicon | None = None) -> DataFrame:
+    """row_id and the fields of each readable name; a narrow map. Without a lexicon trades are mined from the names."""
+    lexicon = mine_trades(df, name, kind) if lexicon is None else lexicon
     source = df.select(*[F.col(c).cast("string").alias(a) for c, a in ((name, "n"), (kind, "k"), (birth, "b"), (place, "p"), (reg, "r"))], F.col(row_id).cast("long").alias("row_id"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = NameReader()
+        reader = lexicon.reader()
         for pdf in batches:
             out = []
             for n, k, b, p, r, i in pdf[["n", "k", "b", "p", "r", "row_id"]].itertuples(index=False):
@@ -286,55 +326,106 @@ def segment(n: int, edits: int) -> list[tuple[int, int]]:
     return out
 
 
-def index_entries(key: str) -> list[str]:
-    """The segments under which a key is found: length, number and text."""
+def index_entries(key: str, most: int = 3) -> list[str]:
+    """The segments under which a key is found within ``most`` edits: length, number and text."""
     n = len(key)
-    return [f"{n}.{i}.{key[a : a + size]}" for i, (a, size) in enumerate(segment(n, allowed_edits(n))) if size]
+    return [f"{n}.{i}.{key[a : a + size]}" for i, (a, size) in enumerate(segment(n, min(most, allowed_edits(n)))) if size]
+
 
+@lru_cache(maxsize=1_000)
+def _windows(m: int, most: int, longer: bool) -> tuple[tuple[int, int, int, range, range], ...]:
+    """For a key of m sounds: length and number of each segment looked for, its size, where it may stand, and where with a swap before it."""
+    out = []
+    for n in range(max(1, m - most), m + (most if longer else 0) + 1):
+        k, more = min(most, allowed_edits(n)), m - n
+        if abs(more) > min(k, allowed_edits(min(m, n))):
+            continue
+        for i, (a, size) in enumerate(segment(n, k)):
+            if size:
+                # From both ends: what lies left of segment i has at most i edits, what lies right at most k - i.
+                lo, hi = max(0, a - i, a + more - (k - i)), min(m - size, a + i, a + more + (k - i))
+                # The swap is one of the i edits at the left and shifts nothing.
+                lo2, hi2 = max(1, a - i + 1, a + more - (k - i)), min(m - size, a + i - 1, a + more + (k - i))
+                out.append((n, i, size, range(lo, hi + 1), range(lo2, hi2 + 1)))
+    return tuple(out)
 
-def probe_entries(key: str) -> list[str]:
-    """The position-shifted substrings with which a key looks up keys that are no longer than itself.
+
+def probe_entries(key: str, most: int = 3, longer: bool = False) -> list[str]:
+    """The position-shifted substrings with which a key looks up keys within ``most`` edits that are no longer than itself (``longer``: of any length).
 
     A swap across a border spoils two segments. Counted for the left one of them, k edits still leave
     one of k + 1 segments without any, which is whole once a swap at its left border is undone.
     """
-    m, out = len(key), set()
-    for n in range(max(1, m - 3), m + 1):
-        k, more = allowed_edits(n), m - n
-        if more > k:
-            continue
-        for i, (a, size) in enumerate(segment(n, k)):
-            if not size:
-                continue
-            # From both ends: what lies left of segment i has at most i edits, what lies right at most k - i.
-            lo = max(0, a - i, a + more - (k - i))
-            hi = min(m - size, a + i, a + more + (k - i))
-            out.update(f"{n}.{i}.{key[s : s + size]}" for s in range(lo, hi + 1))
-            # The swap is one of the i edits at the left and shifts nothing.
-            lo, hi = max(1, a - i + 1, a + more - (k - i)), min(m - size, a + i - 1, a + more + (k - i))
-            out.update(f"{n}.{i}.{key[s - 1]}{key[s + 1 : s + size]}" for s in range(lo, hi + 1))
+    out = set()
+    for n, i, size, plain, swapped in _windows(len(key), most, longer):
+        out.update([f"{n}.{i}.{key[s : s + size]}" for s in plain])
+        out.update([f"{n}.{i}.{key[s - 1]}{key[s + 1 : s + size]}" for s in swapped])
     return sorted(out)
 
 
-def _entries(df: DataFrame, keep: list[str], which: str) -> DataFrame:
-    """One row per key and entry of each spelling."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema) + ", key string, entry string"
-    make = index_entries if which == "index" else probe_entries
+def meetings(x: Mapping) -> tuple[list[tuple[str, int]], list[tuple[str, int, bool]]]:
+    """(offers, asks) of a spelling: what it is looked up and looks up under, each with the edits that ``same_party`` allows there.
+
+    Two spellings that can be one party meet in one of: b, both have the birth date; r, both have the code; p, both have the
+    place and, organisations, the trade; q, one of them without trade; u, one has neither birth date nor place; z, one
+    has the place only, the other the birth date only. In u and z one edit is allowed, or two beside a given name (g)
+    that both have in full. An ask says whether it looks for longer keys as well: not where both sides ask.
+    """
+    kind, born, placed = x["kind"], x["birth"], x["place"]
+    offers, asks = [], []
+    full = [f"g|{g}" for g in x["given"].split("|")] if kind == "p" and x["given"] and x["patronymic"] and x["given"][-1] != "." != x["patronymic"][-1] else []
+
+    def far(name: str, into: list, *longer: bool) -> None:
+        into.append((name, 1, *longer))
+        into.extend((f"{name}|{g}", 2, *longer) for g in full)
+
+    if born:
+        offers.append((f"b{kind}|{born}", 3))
+        asks.append((f"b{kind}|{born}", 3, False))
+    if kind == "o" and x["reg"]:
+        offers.append((f"r|{x['reg']}", 3))
+        asks.append((f"r|{x['reg']}", 3, False))
+    if placed and kind == "p":
+        offers.append((f"p|{placed}", 2))
+        if not born:
+            asks.append((f"p|{placed}", 2, True))
+    elif placed:
+        for trade in x["trade"].split("|"):
+            offers.append((f"po|{placed}|{trade}", 2))
+            asks.append((f"po|{placed}|{trade}", 2, False))
+        offers.append((f"qo|{placed}", 1))
+        if not x["trade"]:
+            asks.append((f"qo|{placed}", 1, True))
+    far(f"u{kind}", offers)
+    if not born and not placed:
+        far(f"u{kind}", asks, True)
+    if born and not placed:
+        far(f"z{kind}", asks, True)
+    elif placed and not born:
+        far(f"z{kind}", offers)
+    return offers, asks
+
+
+def _entries(spellings: DataFrame) -> DataFrame:
+    """(sid, key, ask, token): every entry of each key in each of its meetings. A token is the hash of both: eight
+    bytes are shuffled instead of two texts, and whatever meets by chance is told apart by its keys."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            at, keys, entries = [], [], []
-            for i, several in enumerate(pdf["keys"]):
-                for key in several:
-                    got = make(key)
-                    at.extend([i] * len(got))
-                    keys.extend([key] * len(got))
-                    entries.extend(got)
-            out = pdf[keep].iloc[at].reset_index(drop=True)
-            out["key"], out["entry"] = pd.Series(keys, dtype=object), pd.Series(entries, dtype=object)
-            yield out
+            out = []
+            for sid, *values in pdf[["sid", *FIELDS]].itertuples(index=False):
+                x = dict(zip(FIELDS, values, strict=True))
+                offers, asks = meetings(x)
+                for key in x["keys"]:
+                    index = {most: index_entries(key, most) for most in {m for _, m in offers}}
+                    probe = {how: probe_entries(key, *how) for how in {(m, longer) for _, m, longer in asks}}
+                    out += [(sid, key, False, name, index[most]) for name, most in offers]
+                    out += [(sid, key, True, name, probe[most, longer]) for name, most, longer in asks]
+            if out:
+                yield pd.DataFrame(out, columns=["sid", "key", "ask", "context", "entries"], dtype=object)
 
-    return map_batches(df.select(*dict.fromkeys([*keep, "keys"])), run, schema)
+    rows = map_batches(spellings.select("sid", *FIELDS), run, "sid long, key string, ask boolean, context string, entries array<string>")
+    return rows.select("sid", "key", "ask", F.explode("entries").alias("entry"), "context").select("sid", "key", "ask", F.xxhash64("context", "entry").alias("token"))
 
 
 def agreement(a: str, b: str) -> int:
@@ -365,7 +456,9 @@ def agreement(a: str, b: str) -> int:
 
 def clash(a: dict, b: dict) -> bool:
     """Whether two spellings can't mean one party: another birth date, place, code, form, trade or kind."""
-    return a["kind"] != b["kind"] or any(a[f] and b[f] and a[f] != b[f] for f in ("birth", "place", "reg", "form", "trade"))
+    if a["kind"] != b["kind"] or any(a[f] and b[f] and a[f] != b[f] for f in ("birth", "place", "reg", "form")):
+        return True
+    return bool(a["trade"] and b["trade"]) and set(a["trade"].split("|")).isdisjoint(b["trade"].split("|"))
 
 
 def same_party(a: dict, b: dict) -> bool:
@@ -378,7 +471,7 @@ def same_party(a: dict, b: dict) -> bool:
     if a["kind"] == "o":
         if a["reg"] and b["reg"]:
             return apart <= most
-        return apart <= min(most, 2 if placed and a["trade"] == b["trade"] else 1)
+        return apart <= min(most, 2 if placed and bool(a["trade"]) == bool(b["trade"]) else 1)
     given, patronymic = agreement(a["given"], b["given"]), agreement(a["patronymic"], b["patronymic"])
     if not given or not patronymic:
         return False
@@ -387,9 +480,8 @@ def same_party(a: dict, b: dict) -> bool:
         return born and given + patronymic > 2 and apart == 0
     if born:
         return apart <= most
-    if placed or given == patronymic == 3:
-        return apart <= min(most, 2)
-    return apart <= min(most, 1)
+    written = given == patronymic == 3 and not set(a["given"].split("|")).isdisjoint(b["given"].split("|"))
+    return apart <= min(most, 2 if placed or written else 1)
 
 
 def same_through(a: dict, b: dict) -> bool:
@@ -406,42 +498,12 @@ def link_spellings(names: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``names`` as of ``read_names``. Both results are cut off from their lineage.
     """
     names = cut(names)
-    spellings = names.groupBy(*FIELDS).agg(F.min("row_id").alias("sid"))
-    spellings = cut(spellings)
+    spellings = cut(names.groupBy(*FIELDS).agg(F.min("row_id").alias("sid")))
     members = names.join(spellings, FIELDS).select("row_id", "sid")  # no field is null
 
-    own = ["sid", "kind", "birth", "place", "trade"]
-    index, probe = _entries(spellings, own, "index"), _entries(spellings, own, "probe")
-    born, placed = F.col("birth") != "", F.col("place") != ""
-    org = F.col("kind") == "o"
-    traded = org & (F.col("trade") != "")
-
-    # What the two rows of a pair must share; each compatible pair meets in at least one context.
-    #   b: both have the birth date; p: one has none, both have the place;
-    #   0: one has a place and no birth date, the other a birth date and no place; *: one has neither.
-    # Organisations also share their trade; those without one (p and * without trade, e) meet all others.
-    def tag(name: str, *values: Column) -> Column:
-        return F.concat(F.lit(name), F.col("kind"), *[F.concat(F.lit("|"), v) for v in values])
-
-    def contexts(*pairs: tuple[Column, Column]) -> Column:
-        return F.array_compact(F.array(*[F.when(when, text) for when, text in pairs]))
-
-    place, trade, none = F.col("place"), F.col("trade"), F.lit("")
-    asks = contexts(
-        (born, tag("b", F.col("birth"))), (~born & placed, tag("p", place, trade)), (~born & placed, tag("0")), (~born & ~placed, tag("*", trade)), (org & ~traded & placed, tag("e")),
-    )
-    offers = contexts(
-        (born, tag("b", F.col("birth"))), (placed, tag("p", place, trade)), (placed & traded, tag("p", place, none)), (born & ~placed, tag("0")),
-        (F.lit(True), tag("*", trade)), (traded, tag("*", none)), (org & ~born & ~placed, tag("e")),
-    )
-    # Both sides meet on a hash of context and entry: eight bytes are shuffled instead of two texts, and
-    # whatever meets by chance is told apart by its keys.
-    def keyed(df: DataFrame, listed: Column, sid: str, key: str) -> DataFrame:
-        rows = df.select(F.col("sid").alias(sid), F.col("key").alias(key), "entry", F.explode(listed).alias("context"))
-        return rows.select(sid, key, F.xxhash64("context", "entry").alias("token"), F.col("context").startswith("b").alias("born"))
-
-    left, right = keyed(probe, asks, "a", "ka"), keyed(index, offers, "b", "kb")
-    left2, right2 = keyed(probe, offers, "a", "ka").where("NOT born"), keyed(index, asks, "b", "kb").where("NOT born")
+    tokens = cut(_entries(spellings))
+    asks = tokens.where("ask").select(F.col("sid").alias("a"), F.col("key").alias("ka"), "token")
+    offers = tokens.where("NOT ask").select(F.col("sid").alias("b"), F.col("key").alias("kb"), "token")
     # A swap is two plain edits and leaves the letters as they are: k edits with s swaps are at most k + s plain
     # ones, and at most k - s letters of one key are missing in the other, so both together are at most 2 k.
     least = F.least(F.length("ka"), F.length("kb"))
@@ -449,19 +511,21 @@ def link_spellings(names: DataFrame) -> tuple[DataFrame, DataFrame]:
     plain = F.levenshtein("ka", "kb", 6)
     missing = F.expr("greatest(length(translate(ka, kb, '')), length(translate(kb, ka, '')))")
     near = F.when((plain < 0) | (plain > 2 * most), False).when(plain <= most, True).otherwise(plain + missing <= 2 * most)
-    close = (F.col("a") != F.col("b")) & near
-    met = left.drop("born").join(right.drop("born"), "token").where(close).select("a", "b")
-    met = met.unionByName(left2.drop("born").join(right2.drop("born"), "token").where(close).select("a", "b"))
+    met = asks.join(offers, "token").where((F.col("a") != F.col("b")) & near)
     candidates = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    side = lambda p: spellings.select(F.col("sid").alias(p), F.struct(*FIELDS).alias(f"{p}_fields"))
-    differs = lambda c: (F.col(f"a_fields.{c}") != "") & (F.col(f"b_fields.{c}") != "") & (F.col(f"a_fields.{c}") != F.col(f"b_fields.{c}"))
-    apart = differs("birth") | differs("place") | differs("reg") | differs("form") | differs("trade")
+    side = lambda p: spellings.select(F.col("sid").alias(p), *[F.col(f).alias(f"{p}_{f}") for f in FIELDS])
+    differs = lambda c: (F.col(f"a_{c}") != "") & (F.col(f"b_{c}") != "") & (F.col(f"a_{c}") != F.col(f"b_{c}"))
+    trades = lambda p: F.split(F.col(f"{p}_trade"), r"\|")
+    other_trade = (F.col("a_trade") != "") & (F.col("b_trade") != "") & ~F.arrays_overlap(trades("a"), trades("b"))
+    apart = differs("birth") | differs("place") | differs("reg") | differs("form") | other_trade
 
     def judged(pairs: DataFrame, judge: Callable[[dict, dict], bool]) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            n = len(FIELDS)
             for pdf in batches:
-                keep = [judge(x, y) for x, y in zip(pdf["a_fields"], pdf["b_fields"], strict=True)]
+                fields = pdf[[*[f"a_{f}" for f in FIELDS], *[f"b_{f}" for f in FIELDS]]]
+                keep = [judge(dict(zip(FIELDS, r[:n], strict=True)), dict(zip(FIELDS, r[n:], strict=True))) for r in fields.itertuples(index=False, name=None)]
                 yield pdf.loc[keep, ["a", "b"]]
 
         both = pairs.join(side("a"), "a").join(side("b"), "b").where(~apart)
@@ -471,7 +535,7 @@ def link_spellings(names: DataFrame) -> tuple[DataFrame, DataFrame]:
     # Two spellings of one party may be far apart, yet both near a third. The third one must
     # carry a birth date or a place: bare names would bridge different parties.
     either = direct.unionByName(direct.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    centres = spellings.where(born | placed).select(F.col("sid").alias("b"))
+    centres = spellings.where("birth <> '' OR place <> ''").select(F.col("sid").alias("b"))
     spokes = either.join(centres, "b", "left_semi")
     wedges = spokes.select(F.col("a"), F.col("b").alias("c")).join(spokes.select(F.col("a").alias("b"), F.col("b").alias("c")), "c")
     wedges = wedges.where("a < b").select("a", "b").distinct().join(direct, ["a", "b"], "left_anti")

@@ -24,6 +24,13 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return names.linked_pairs(*names.link_spellings(_read_names(spark, d)))
 
 
+def p4_members(spark: SparkSession, d: str) -> DataFrame:
+    """Every row with its spelling and the number of other spellings that this is linked to: the links without the pairs of their copies."""
+    members, links = names.link_spellings(_read_names(spark, d))
+    ends = links.select(F.explode(F.array("a", "b")).alias("sid")).groupBy("sid").agg(F.count(F.lit(1)).alias("links"))
+    return members.join(ends, "sid", "left").select(F.col("row_id").alias("party_row_id"), F.col("sid").alias("spelling_id"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def _typed(spark: SparkSession, d: str) -> DataFrame:
     df = table(spark, d, "decisions").select("decision_id", "entity_key", "header", "prop")
     return df.unpivot(["decision_id", "entity_key"], ["header", "prop"], "field_name", "typed")
@@ -110,6 +117,6 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p4_found, p5_found, p5_unmatched, p5_aliases, p7_found, p8_ids, p8_runs, p9_mix, p9_shares, p10_found, p10_scores, p10_rates)
+    f.__name__: f for f in (p4_found, p4_members, p5_found, p5_unmatched, p5_aliases, p7_found, p8_ids, p8_runs, p9_mix, p9_shares, p10_found, p10_scores, p10_rates)
 }
 ORACLE: dict[str, str] = {}

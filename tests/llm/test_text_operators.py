@@ -50,13 +50,54 @@ def test_keys_near_by_swaps_share_an_entry():
         short, long = sorted((a, "".join(b)), key=len)
         if short and N.osa(short, long, 3) <= N.allowed_edits(len(short)):
             assert set(N.index_entries(short)) & set(N.probe_entries(long)), (short, long)
+            for most in (1, 2, 3):
+                if N.osa(short, long, 3) <= most:
+                    assert set(N.index_entries(long, most)) & set(N.probe_entries(short, most, True)), (short, long)
+                    assert set(N.index_entries(short, most)) & set(N.probe_entries(long, most, True)), (short, long)
+
+
+def test_every_pair_that_is_one_party_meets():
+    rng = random.Random(12)
+    key = lambda: "".join(rng.choice("abcd") for _ in range(rng.randint(4, 10)))
+    met = 0
+    for _ in range(40000):
+        kind = rng.choice("po")
+        base = {"kind": kind, "keys": [key()], "given": "", "patronymic": "", "form": "", "trade": "", "birth": "", "place": "", "reg": ""}
+        pair = []
+        for _ in range(2):
+            k = list(base["keys"][0])
+            for _ in range(rng.randint(0, 2)):
+                at = rng.randrange(len(k))
+                k[at : at + 2] = k[at : at + 2][::-1] if rng.random() < 0.5 else k[at + 1 : at + 2]
+            x = base | {"keys": ["".join(k)]}
+            if kind == "p":
+                x |= {"given": rng.choice(["", "i.", "ivan", "ivan|petro", "petro"]), "patronymic": rng.choice(["", "p.", "petroviT"]), "birth": rng.choice(["", "2000-01-01"])}
+            else:
+                x |= {"trade": rng.choice(["", "prom", "proekt", "proekt|prom"]), "reg": rng.choice(["", "", "1"])}
+            pair.append(x | {"place": rng.choice(["", "x"])})
+        a, b = pair
+        if a["keys"][0] and b["keys"][0] and N.same_party(a, b):
+            met += 1
+            tokens = []
+            for x in pair:
+                offers, asks = N.meetings(x)
+                tokens.append(({(c, e) for c, m in offers for e in N.index_entries(x["keys"][0], m)}, {(c, e) for c, m, longer in asks for e in N.probe_entries(x["keys"][0], m, longer)}))
+            (o1, a1), (o2, a2) = tokens
+            assert o1 & a2 or o2 & a1, pair
+    assert met > 3000
+
+
+def test_trades_are_the_words_that_many_organisations_have(spark):
+    rows = [(f"ТОВ Назва{chr(1072 + i)}{chr(1072 + i)} {'Буд' if i % 2 else 'Агро'}", "organisation") for i in range(20)] + [("Агро Іван", "person"), (None, "organisation"), ("ПП Агро", "organisation")]
+    df = spark.createDataFrame(rows, "n string, k string")
+    assert N.mine_trades(df, "n", "k", share=0.2).trades == ("ahro", "bud") and N.mine_trades(df.limit(0), "n", "k").trades == ()
 
 
 def test_swapped_spellings_are_linked(spark):
     def linked(*surnames):
         rows = [(i, "person", f"{s} Петро Тарасович", "16.02.1990") for i, s in enumerate(surnames)]
         df = spark.createDataFrame(rows, "id long, k string, n string, b string").withColumns({"p": F.lit(None).cast("string"), "r": F.lit(None).cast("string")})
-        return {tuple(r) for r in N.linked_pairs(*N.link_spellings(N.read_names(df, "id", "n", "k", "b", "p", "r"))).collect()}
+        return {tuple(r) for r in N.linked_pairs(*N.link_spellings(N.read_names(df, "id", "n", "k", "b", "p", "r", N.Lexicon()))).collect()}
 
     # One swap across the segment border of a key of four, and three swaps (six plain edits) in a key of twelve.
     assert linked("Бура", "Бруа") == {(0, 1)}
@@ -76,7 +117,8 @@ def test_spellings_of_a_party_are_linked_and_namesakes_not(spark):
         (10, "organisation", 'ДП "Панакзуц-Пром"', None, "Гуслин", None), (11, "organisation", "ТОВ Панакзуц-Агро", None, "Гуслин", None), (12, None, None, None, None, None), (13, "person", "  ", None, None, None), (14, "person", "Турошмабук Петро Тарасович", "16.02.1990", "Озерянка", None),
     ]
     df = spark.createDataFrame(rows, "id long, k string, n string, b string, p string, r string")
-    got = {tuple(r) for r in N.linked_pairs(*N.link_spellings(N.read_names(df, "id", "n", "k", "b", "p", "r"))).collect()}
+    known = N.Lexicon(trades=("пром", "агро"))
+    got = {tuple(r) for r in N.linked_pairs(*N.link_spellings(N.read_names(df, "id", "n", "k", "b", "p", "r", known))).collect()}
     one = [1, 2, 3, 4, 5, 14]
     assert got == {(a, b) for i, a in enumerate(one) for b in one[i + 1 :]} | {(8, 9)}
     assert N.linked_pairs(*N.link_spellings(N.read_names(df.limit(0), "id", "n", "k", "b", "p", "r"))).count() == 0
