@@ -74,9 +74,10 @@ def detector_rates(counts: DataFrame, names: list[str] | None = None) -> DataFra
 
 
 def acceptance(frame: DataFrame, pairs: list[tuple[str, str]], numeric: dict[str, bool] | None = None, most: int = 5) -> DataFrame:
-    """Per (column, type): share of non-placeholder values that canonicalise, and the first refused values.
+    """Per (column, type): share of non-placeholder values that canonicalise, and the first ``most`` different refused ones.
 
-    All placeholders: 0; no values: 1; a free type: 1. One scan for all pairs.
+    All placeholders: 0; no values: 1; a free type: 1. One scan for the shares; the refused values are ranked with a limit
+    per partition before they are shuffled, and with ``most`` = 0 not looked for.
     """
     checks = [
         F.struct(F.lit(c).alias("column"), F.lit(t).alias("type"), F.lit(t in C.FREE_TYPES).alias("free"), cell(c).alias("value"),
@@ -85,14 +86,15 @@ def acceptance(frame: DataFrame, pairs: list[tuple[str, str]], numeric: dict[str
     ]
     long = frame.select(ROW, F.explode(F.array(*checks)).alias("x")).select(ROW, "x.*")
     real = F.col("value").isNotNull() & ~X.is_placeholder("value")
-    agg = long.groupBy("column", "type", "free").agg(
-        F.count("value").alias("filled"),
-        F.count_if(real).alias("real"),
-        F.count_if(real & F.col("ok")).alias("accepted"),
-        F.min(F.when(real & ~F.col("ok"), F.struct(ROW, "value"))).alias("first_refused"),
-    )
+    agg = long.groupBy("column", "type", "free").agg(F.count("value").alias("filled"), F.count_if(real).alias("real"), F.count_if(real & F.col("ok")).alias("accepted"))
     share = F.when(F.col("free") | (F.col("filled") == 0), 1.0).when(F.col("real") == 0, 0.0).otherwise(F.col("accepted") / F.col("real"))
-    return agg.select("column", "type", share.alias("share"), (F.col("real") - F.col("accepted")).alias("refused"), F.col("first_refused.value").alias("first_refused"))
+    out = agg.select("column", "type", share.alias("share"), (F.col("real") - F.col("accepted")).alias("refused"))
+    if not most:
+        return out.withColumn("refused_values", F.array().cast("array<string>"))
+    first = long.where(real & ~F.col("ok")).groupBy("column", "type", "value").agg(F.min(ROW).alias("first"))
+    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("column", "type").orderBy("first", "value"))).where(F.col("rank") <= most)
+    listed = ranked.groupBy("column", "type").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda x: x["value"]).alias("refused_values"))
+    return out.join(listed, ["column", "type"], "left").withColumn("refused_values", F.coalesce("refused_values", F.array().cast("array<string>")))
 
 
 def kind_columns(counts: DataFrame, rows: int, least_fill: float = 0.9, most: int = 12) -> DataFrame:

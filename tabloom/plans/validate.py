@@ -118,7 +118,7 @@ def check_bindings(plan: Plan, ctx: Context) -> None:
     items = {x.key: x for x in (*plan.entities, *plan.edges)}
     pairs = sorted({(b.column, b.type_name) for b in plan.bindings})
     numeric = evidence(ctx.frame, plan)
-    shares = {(r["column"], r["type"]): r["share"] for r in S.acceptance(ctx.frame, pairs, numeric).collect()} if pairs else {}
+    shares = {(r["column"], r["type"]): r["share"] for r in S.acceptance(ctx.frame, pairs, numeric, most=0).collect()} if pairs else {}
     for b in list(plan.bindings):
         item, prop, c = items.get(b.entity), ctx.onto.prop(b.prop), ctx.facts(b.column)
         share = shares.get((b.column, b.type_name), 1.0)

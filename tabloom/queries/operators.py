@@ -74,13 +74,6 @@ def value_shapes(spark, d):
     return table(spark, d, "part").groupBy(X.shape("p_name").alias("shape")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH g AS (SELECT o_orderpriority AS value, count(*) AS n FROM orders GROUP BY ALL), r AS (SELECT value, n, row_number() OVER (ORDER BY n DESC, value) AS place FROM g) SELECT value, n, place FROM r WHERE place <= 3""")
-def top_values(spark, d):
-    """The three commonest values: a top-k report."""
-    g = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    return g.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "value")).cast("long")).where("place <= 3")
-
-
 @query(f"""WITH v AS ({_CUSTOMER_LONG}), g AS (SELECT column_id, value, count(*) AS n FROM v WHERE value IS NOT NULL GROUP BY ALL)
 SELECT column_id, round(CAST(max(n) AS DOUBLE) / sum(n), 6) AS modal_share, max_by(value, (n, value)) AS modal_value, round(CASE WHEN sum(n) > max(n) THEN CAST(count(*) - 1 AS DOUBLE) / (sum(n) - max(n)) ELSE 0.0 END, 6) AS distinct_ex_modal FROM g GROUP BY column_id""")
 def modal_values(spark, d):
@@ -104,12 +97,6 @@ def sentinel_counts(spark, d):
     return counts.groupBy("source_id", "load_no", "column_id").agg(F.sum("n").alias("filled"), F.coalesce(F.sum(F.when(X.is_placeholder("value"), F.col("n"))), F.lit(0)).alias("sentinels"))
 
 
-@query("""SELECT event_type, round(avg(CASE WHEN regexp_matches(CAST(value AS VARCHAR), '^-?[0-9]+([.,][0-9]+)?$') THEN 1.0 ELSE 0.0 END), 6) AS numeric_rate, count(*) AS n FROM (SELECT event_type, CAST(event_id AS VARCHAR) AS value FROM events) GROUP BY event_type""")
-def detector_rates(spark, d):
-    df = table(spark, d, "events").select("event_type", F.col("event_id").cast("string").alias("v"))
-    return df.groupBy("event_type").agg(F.round(F.avg(D.DETECTORS["numeric"](F.col("v")).cast("double")), 6).alias("numeric_rate"), F.count(F.lit(1)).alias("n"))
-
-
 _EDR = """WITH k AS (SELECT o_orderkey, lpad(CAST((o_orderkey * 7919 + 30000000) % 100000000 AS VARCHAR), 8, '0') AS v FROM orders),
 x AS (SELECT o_orderkey, v, CAST(v AS INTEGER) BETWEEN 30000000 AND 60000000 AS mid, [CAST(substr(v, i, 1) AS INTEGER) FOR i IN range(1, 9)] AS g FROM k),
 s AS (SELECT *, (CASE WHEN mid THEN g[1]*7+g[2]*1+g[3]*2+g[4]*3+g[5]*4+g[6]*5+g[7]*6 ELSE g[1]*1+g[2]*2+g[3]*3+g[4]*4+g[5]*5+g[6]*6+g[7]*7 END) % 11 AS a,
@@ -180,10 +167,10 @@ def folded_headers(spark, d):
 
 
 @query("""WITH v AS (SELECT DISTINCT n_nationkey, CAST(n_nationkey AS VARCHAR) AS a, CAST(n_regionkey AS VARCHAR) AS b FROM nation)
-SELECT n_nationkey, length(a) || ':' || a || '|' || length(b) || ':' || b || '|' AS body, sha1('src/' || chr(0) || 'k' || chr(0) || length(a) || ':' || a || '|' || length(b) || ':' || b || '|') IS NOT NULL AS has_id FROM v""")
+SELECT n_nationkey, length(a) || ':' || a || '|' || length(b) || ':' || b || '|' AS body, sha1('src/' || chr(0) || 'k' || chr(0) || length(a) || ':' || a || '|' || length(b) || ':' || b || '|') AS id FROM v""")
 def composite_keys(spark, d):
     body = X.composite(F.col("n_nationkey").cast("string"), F.col("n_regionkey").cast("string"))
-    return table(spark, d, "nation").select("n_nationkey", body.alias("body"), F.sha1(F.concat(F.lit("src/\x00k\x00"), body)).isNotNull().alias("has_id"))
+    return table(spark, d, "nation").select("n_nationkey", body.alias("body"), F.sha1(F.concat(F.lit("src/\x00k\x00"), body)).alias("id"))
 
 
 @query("""SELECT register_id, CAST(sum(len(string_split(t, ';'))) AS BIGINT) AS parts, count(*) AS cells FROM (SELECT register_id, lang || ';' || source AS t FROM documents WHERE lang IS NOT NULL) GROUP BY register_id""")
@@ -236,28 +223,6 @@ def kind_columns(spark, d):
     return S.kind_columns(counts, df.count())
 
 
-@query("""SELECT 'c0' AS column_id, CAST(1.0 AS DOUBLE) AS text_share UNION ALL SELECT 'c1', CAST(0.0 AS DOUBLE)""")
-def text_shares(spark, d):
-    return S.text_share(as_frame(table(spark, d, "orders"), "o_orderkey", ["o_orderpriority", "o_custkey"]).withColumn("c0", F.regexp_replace("c0", r"^\d-", "")), ["c0", "c1"])
-
-
-@query("""SELECT avg(CASE WHEN lower(a.v) <> lower(a.w) THEN 1.0 ELSE 0.0 END) AS differ_share FROM (SELECT c_mktsegment AS v, upper(c_mktsegment) AS w FROM customer) a""")
-def name_disagreement(spark, d):
-    f = as_frame(table(spark, d, "customer"), "c_custkey", ["c_mktsegment"]).withColumn("c1", F.upper("c0"))
-    return S.disagreement(f, "c0", "c1")
-
-
-@query("""SELECT c AS column_id, round(CAST(n AS DOUBLE) / t, 6) AS share FROM (SELECT 'c2' AS c, count(*) FILTER (WHERE lang IS NULL) AS n, count(*) AS t FROM documents)""")
-def null_share(spark, d):
-    return table(spark, d, "documents").agg(F.round(F.count_if(F.col("lang").isNull()) / F.count(F.lit(1)), 6).alias("share")).select(F.lit("c2").alias("column_id"), "share")
-
-
-@query()
-def acceptance_shares(spark, d):
-    f = table(spark, d, "frame_rows").select(F.col("row_id").alias("_row"), *[f"c{k}" for k in range(12)])
-    return S.acceptance(f, [("c1", "date"), ("c2", "identifier"), ("c5", "phone"), ("c7", "email"), ("c11", "number")])
-
-
 @query()
 def phone_pack_rates(spark, d):
     return S.pack_rates(table(spark, d, "frame_rows").select(F.col("row_id").alias("_row"), "c5"), "c5")
@@ -330,12 +295,6 @@ def claim_ledger(spark, d):
     return L.claim_ledger(rows, long, PLAN).select("entity", "prop", "expected", "emitted", "rejected", "shortfall")
 
 
-@query("SELECT true AS accounting_valid")
-def accounting(spark, d):
-    frame, rows, long = _long(spark, d)
-    return L.totals(L.coverage(frame, rows, PLAN), L.claim_ledger(rows, long, PLAN)).select("accounting_valid")
-
-
 EVENTS = Plan(
     "Person",
     [Entity("click", "Note", ["c0"], Selection("c1", "click")), Entity("view", "Event", ["c0"], Selection("c1", "view"))],
@@ -368,18 +327,6 @@ def first_wins(spark, d):
     return P.first_wins(df, ["doc_id"], by="text").select("doc_id", "source")
 
 
-@query("""SELECT source_id, schema, CAST(sum(n) AS BIGINT) AS n FROM (SELECT source AS source_id, coalesce(lang, '-') AS schema, 1 AS n FROM documents) GROUP BY ROLLUP (source_id, schema)""")
-def corpus_rollup(spark, d):
-    df = table(spark, d, "documents").select(F.col("source").alias("source_id"), F.coalesce("lang", F.lit("-")).alias("schema"))
-    return df.rollup("source_id", "schema").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("""SELECT lang, source, count(*) AS n FROM documents GROUP BY GROUPING SETS ((lang), (source), ())""")
-def grouping_sets(spark, d):
-    df = table(spark, d, "documents").select("lang", "source")
-    return df.groupingSets([["lang"], ["source"], []], "lang", "source").agg(F.count(F.lit(1)).alias("n"))
-
-
 # -- planning, review and scoring over tables ------------------------------------------------
 @query("""SELECT source_id, column_id, prop FROM (SELECT *, row_number() OVER (PARTITION BY source_id, column_id ORDER BY decided_at DESC, decision_id DESC) AS r FROM decisions WHERE verdict <> 'unmapped') WHERE r = 1 AND verdict <> 'declined'""")
 def override_log(spark, d):
@@ -396,74 +343,6 @@ def override_revisions(spark, d):
     return RV.override_revision(ev)
 
 
-@query("""WITH c AS (SELECT entity_key, prop, column_id, count(*) AS strength FROM decisions WHERE prop IS NOT NULL AND entity_key IS NOT NULL GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY entity_key, prop ORDER BY strength DESC, CAST(substr(column_id, 2) AS INTEGER)) AS r FROM c) SELECT entity_key, prop, column_id, strength FROM r WHERE r = 1""")
-def claims_winner(spark, d):
-    df = table(spark, d, "decisions").where("prop IS NOT NULL AND entity_key IS NOT NULL").groupBy("entity_key", "prop", "column_id").agg(F.count(F.lit(1)).alias("strength"))
-    best = df.groupBy("entity_key", "prop").agg(F.max_by(F.struct("column_id", "strength"), F.struct("strength", -F.substring("column_id", 2, 9).cast("int"))).alias("m"))
-    return best.select("entity_key", "prop", "m.column_id", "m.strength")
-
-
-def _verdicts(spark: SparkSession, d: str) -> DataFrame:
-    df = table(spark, d, "canon_cells").where("ok IS NOT NULL")
-    key = F.concat_ws("-", "cell_id")
-    gold = df.select("source_id", key.alias("column"), "canon_value", F.array(F.lit("x")).alias("accepted")).withColumnRenamed("canon_value", "prop")
-    got = C.canonical(F.col("value_raw"), "date")
-    bound = df.select("source_id", key.alias("column"), got["value"].alias("prop")).where("prop IS NOT NULL")
-    return Z.column_verdicts(gold, bound, df.select("source_id", key.alias("column")).limit(0))
-
-
-@query("""SELECT count(*) AS columns FROM canon_cells WHERE ok IS NOT NULL""")
-def score_totals(spark, d):
-    return Z.verdict_totals(_verdicts(spark, d)).select("columns")
-
-
-@query()
-def score_verdicts(spark, d):
-    return _verdicts(spark, d).groupBy("source_id", "verdict").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query()
-def ontology_closure(spark, d):
-    return default().closure_table(spark)
-
-
-@query()
-def ontology_props(spark, d):
-    return default().prop_table(spark)
-
-
-@query("""SELECT c_custkey, sum(o_totalprice) IS NOT NULL AS has_orders FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey""")
-def left_join_lookup(spark, d):
-    c, o = table(spark, d, "customer"), table(spark, d, "orders")
-    return c.join(o, c.c_custkey == o.o_custkey, "left").groupBy("c_custkey").agg(F.sum("o_totalprice").isNotNull().alias("has_orders"))
-
-
-@query("""SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)""")
-def anti_join(spark, d):
-    c, o = table(spark, d, "customer"), table(spark, d, "orders")
-    return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey")
-
-
-@query("""SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')""")
-def semi_join(spark, d):
-    c, o = table(spark, d, "customer"), table(spark, d, "orders").where("o_orderstatus = 'F'")
-    return c.join(o, c.c_custkey == o.o_custkey, "left_semi").select("c_custkey")
-
-
-@query("""SELECT n_name FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal < 0)""")
-def set_operations(spark, d):
-    c, s, n = (table(spark, d, t) for t in ("customer", "supplier", "nation"))
-    keys = c.select("c_nationkey").intersect(s.select("s_nationkey")).exceptAll(s.where("s_acctbal < 0").select("s_nationkey").distinct())
-    return n.join(keys, n.n_nationkey == keys.c_nationkey, "left_semi").select("n_name")
-
-
-@query("""SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, event_type, count(*) AS rows FROM events GROUP BY ALL""")
-def daily_windows(spark, d):
-    got = table(spark, d, "events").groupBy(F.window("ts", "1 day"), "event_type").agg(F.count(F.lit(1)).alias("rows"))
-    return got.select(F.col("window.start").alias("window_start"), "event_type", "rows")
-
-
-
 # -- layout and planning over the registers --------------------------------------------------
 def _register(spark: SparkSession, d: str) -> tuple[DataFrame, list[dict]]:
     """All rows of the registers as one frame; they share one layout, whose headers the first source has."""
@@ -473,17 +352,6 @@ def _register(spark: SparkSession, d: str) -> tuple[DataFrame, list[dict]]:
     return frame, [{"id": f"c{k}", "index": k, "header": h, "label": None, "group": None} for k, h in enumerate(heads)]
 
 
-@query()
-def layout_of_a_register(spark, d):
-    """The registers as one raw grid, laid out again: its records and its header."""
-    frame, columns = _register(spark, d)
-    cells = F.array(*[F.col(c["id"]) for c in columns])
-    head = spark.createDataFrame([(0, [c["header"] for c in columns])], "_row int, cells array<string>")
-    grid = head.unionByName(frame.select("_row", cells.alias("cells")))
-    got = LY.build_frame(grid)
-    return got.rows.agg(F.count(F.lit(1)).alias("rows")).select("rows", F.lit(got.header.row).alias("header_row"), F.lit(got.columns[0]["header"]).alias("first_header"))
-
-
 @query()
 def planned_bindings(spark, d):
     """The statistical plan of the registers after all rules."""
