@@ -204,6 +204,16 @@ def references(rows: DataFrame, plan: Plan, source: Source, onto: Ontology | Non
     return rows.select(F.explode(F.array(*out)).alias("r")).select("r.*").where("entity_id IS NOT NULL AND value IS NOT NULL").distinct()
 
 
+def names_mentioned(long: DataFrame, refs: DataFrame, edge_schemata: list[str]) -> DataFrame:
+    """(entity_id, schema, prop, value): the names of an edge's ends as its ``namesMentioned``; derived, so without a cell.
+
+    One join of the edges' ends with the names of entities, both distinct before they are shuffled.
+    """
+    own = long.where("selected AND stage IS NULL AND prop = 'name'").select(F.col("entity_id").alias("end"), F.col("value").alias("name")).distinct()
+    ends = refs.where(F.col("schema").isin(edge_schemata)).select("entity_id", "schema", F.col("value").alias("end"))
+    return ends.join(own, "end").select("entity_id", "schema", F.lit("namesMentioned").alias("prop"), F.col("name").alias("value")).distinct()
+
+
 def declared_ids(rows: DataFrame, plan: Plan, source: Source, onto: Ontology | None = None) -> DataFrame:
     """(entity_id, schema, entity): every entity and edge that the rows make, distinct."""
     onto = onto or default()
@@ -248,6 +258,9 @@ def mapping_document(plan: Plan, source: Source, onto: Ontology | None = None) -
         props = {c["prop"]: {"column": c["column"], **({"split": C.JOIN} if c["type"] in C.MULTIVALUE else {})} for c in claims(plan, onto) if c["entity"] == e.key and c["read"]}
         q["entities"][e.key] = {"schema": e.schema, "keys": key_columns(plan, e), "key_literal": f"{e.key}\x00", "properties": props}
     for r in plan.edges:
-        q = next(iter(queries.values()))
+        # An edge is read on the rows that both ends select: in the query of the end with a filter, if one has any.
+        ends = [e for e in (plan.entity(r.source), plan.entity(r.target)) if e]
+        own = next(({e.filter.column: e.filter.value} for e in ends if e.filter), {})
+        q = queries.setdefault(json.dumps(own, ensure_ascii=False), {"filters": own, "entities": {}})
         q["entities"][r.key] = {"schema": r.schema, "keys": key_columns(plan, r), "key_literal": f"{r.key}\x00", "source": r.source, "target": r.target}
     return json.dumps({source.source_id: {"queries": list(queries.values())}}, ensure_ascii=False, indent=1, sort_keys=True)

@@ -68,3 +68,8 @@ def profile_frame(frame: DataFrame, columns: list[dict]) -> list[ColumnFacts]:
             sentinel_share=r["sentinel_share"] or 0.0, modal_share=r["modal_share"] or 0.0, distinct_ex_modal=r["distinct_ex_modal"] or 0.0, text_share=r["text_share"] or 0.0,
         ))
     return out
+
+
+def bloc_profiles(frame: DataFrame, columns: list[dict], selections: list[tuple[str, str]]) -> dict[tuple[str, str], list[ColumnFacts]]:
+    """Facts of all columns over the rows of each selection (column, value): what a column is in one bloc may not hold in another."""
+    return {(c, v): profile_frame(frame.where(F.col(c) == F.lit(v)), columns) for c, v in selections}

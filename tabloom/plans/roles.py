@@ -77,6 +77,18 @@ def role_of(column: ColumnFacts, words: RoleWords = DEFAULT_WORDS) -> Role | Non
     return None
 
 
+def role_keyed(entity: Entity, facts: Mapping[str, ColumnFacts], words: RoleWords = DEFAULT_WORDS) -> bool:
+    """Whether a key column's texts name a role: such an entity is a party that the row names, never the row itself."""
+    return any(role_of(facts[k], words) is not None for k in entity.keys if k in facts)
+
+
+def share_prefix_group(groups: Mapping[str, list[str]], a: Entity, b: Entity, facts: Mapping[str, ColumnFacts], words: RoleWords = DEFAULT_WORDS) -> bool:
+    """Whether two entities are keyed within one group of columns and neither is a party by its role: they are one thing."""
+    if role_keyed(a, facts, words) or role_keyed(b, facts, words):
+        return False
+    return any(set(a.keys) & set(ids) and set(b.keys) & set(ids) and set(a.keys) | set(b.keys) <= set(ids) for ids in groups.values())
+
+
 def level_rank(header: str | None, words: RoleWords = DEFAULT_WORDS) -> int | None:
     """How fine an organisational level a header names; None if none."""
     folded = fold_text(header)

@@ -176,16 +176,61 @@ def check_filters(plan: Plan, ctx: Context) -> None:
 
 
 def floor_keys(plan: Plan, ctx: Context) -> None:
-    """Key columns below the fill floor go; a keyless entity takes its identifier, else its name."""
+    """Key columns below the fill floor go; a keyless entity takes its identifier, else its name, else a refused key back."""
     for e in plan.entities:
         kept = [k for k in e.keys if ctx.facts(k) and (ctx.facts(k).fill_rate >= KEY_FILL or len(e.keys) == 1 and ctx.onto.is_party(e.schema))]
+        refused = [k for k in e.keys if k not in kept and ctx.facts(k)]
         for k in set(e.keys) - set(kept):
             plan.decisions.append(Decision(k, None, e.key, "rejected", "a key must be filled"))
         e.keys = kept
-        if not e.keys and ctx.onto.is_party(e.schema):
-            own = [b for b in plan.bindings if b.entity == e.key and b.type_name in ("identifier", "name") and ctx.facts(b.column).fill_rate >= KEY_FILL]
-            own.sort(key=lambda b: (b.type_name != "identifier", -ctx.facts(b.column).distinct, ctx.facts(b.column).index))
-            e.keys = [own[0].column] if own else []
+        if e.keys or not (refused or ctx.onto.is_party(e.schema)):
+            continue
+        if ctx.onto.is_party(e.schema):
+            e.keys = proposed_key(plan, ctx, e)
+        for back in (reinstated_key, reinstated_by_dependence):
+            if not e.keys and refused:
+                e.keys = back(plan, ctx, e, refused)
+                plan.decisions += [Decision(k, None, e.key, "accepted", "the entity has no better key") for k in e.keys]
+
+
+def proposed_key(plan: Plan, ctx: Context, e: Entity) -> list[str]:
+    """The well-filled column bound to the entity as identifier, else as name; the most distinct of several."""
+    own = [b for b in plan.bindings if b.entity == e.key and b.type_name in ("identifier", "name") and ctx.facts(b.column).fill_rate >= KEY_FILL]
+    own.sort(key=lambda b: (b.type_name != "identifier", -ctx.facts(b.column).distinct, ctx.facts(b.column).index))
+    return [own[0].column] if own else []
+
+
+def reinstated_key(plan: Plan, ctx: Context, e: Entity, refused: list[str]) -> list[str]:
+    """Of the keys refused for their fill the most distinct one that is bound to the entity as identifier or name."""
+    typed = {b.column for b in plan.bindings if b.entity == e.key and b.type_name in ("identifier", "name")}
+    fits = sorted((k for k in refused if k in typed), key=lambda k: (-ctx.facts(k).distinct_ratio, ctx.facts(k).index))
+    return fits[:1]
+
+
+def reinstated_by_dependence(plan: Plan, ctx: Context, e: Entity, refused: list[str]) -> list[str]:
+    """A refused key that determines the entity's name and is determined by it, where both are filled."""
+    name = next((b.column for b in plan.bindings if b.entity == e.key and b.prop.endswith(":name")), None)
+    for k in sorted(refused, key=lambda k: ctx.facts(k).index):
+        if name and name != k:
+            got = S.one_to_one(ctx.frame, [k], name).first()
+            if got["one_to_one"] and got["pairs"] > 1:
+                return [k]
+    return []
+
+
+def resolve_subject_contradiction(plan: Plan, ctx: Context) -> None:
+    """A plan of one entity that is neither a kind of its subject nor the other way round also reads the row as the subject."""
+    if len(plan.entities) != 1 or plan.subject not in ctx.onto.schemata:
+        return
+    only = plan.entities[0]
+    if ctx.onto.is_a(only.schema, plan.subject) or ctx.onto.is_a(plan.subject, only.schema) or ctx.onto.schemata[plan.subject].abstract:
+        return
+    second = Entity(R._unique(plan, plan.subject.lower()), plan.subject, list(only.keys))
+    plan.entities.append(second)
+    for b in [b for b in plan.bindings if b.entity == only.key]:
+        own = ctx.onto.props(second.schema).get(b.prop.partition(":")[2])
+        if own:
+            plan.bindings.append(Binding(b.column, f"{second.schema}:{own.name}", second.key, own.type, "the row read as its subject"))
 
 
 def split_folded_parties(plan: Plan, ctx: Context) -> None:
@@ -245,25 +290,77 @@ def declare_identification(plan: Plan, ctx: Context) -> None:
         key = R._unique(plan, "identification")
         plan.entities.append(Entity(key, "Identification", [found[0].id]))
         plan.bindings.append(Binding(found[0].id, "Identification:number", key, "identifier", "the number of a certificate"))
-        parties = [e for e in plan.entities if ctx.onto.is_party(e.schema)]
-        if len(parties) == 1:
-            plan.attachments.append(Attachment(key, "holder", parties[0].key))
+
+
+def attach_identification_holder(plan: Plan, ctx: Context) -> None:
+    """A document's holder: the party that the row itself is, else the only party, else the owner of the only asset; at doubt none."""
+    facts = {c.id: c for c in ctx.columns}
+    for e in [e for e in plan.entities if e.schema == "Identification" and not any(a.entity == e.key for a in plan.attachments)]:
+        parties = [x for x in plan.entities if ctx.onto.is_party(x.schema)]
+        rows = [x for x in parties if not R.role_keyed(x, facts, ctx.words)]
+        owners = sorted({r.source for r in plan.edges if r.schema == "Ownership"})
+        assets = [x for x in plan.entities if ctx.onto.is_a(x.schema, "Asset") and not ctx.onto.is_party(x.schema)]
+        holder = rows[0].key if len(rows) == 1 else parties[0].key if len(parties) == 1 else owners[0] if len(owners) == 1 == len(assets) else None
+        if holder:
+            plan.attachments.append(Attachment(e.key, "holder", holder))
         else:
-            plan.decisions.append(Decision(found[0].id, "Identification:holder", key, "declined", "no single holder"))
+            plan.decisions.append(Decision(e.keys[0] if e.keys else "", "Identification:holder", e.key, "declined", "no single holder"))
+
+
+def level_tree(plan: Plan, ctx: Context) -> dict[str, str]:
+    """The parent of each organisation that a level column names.
+
+    Of the coarser levels whose values a finer one (nearly) determines, the parent is the one of most values, then the most
+    consistent, then the leftmost. Where none does, the names are relative (``2nd section``): the organisation is told
+    apart by the nearest coarser level's key beside its own. All pairs are asked in one job.
+    """
+    facts = {c.id: c for c in ctx.columns}
+    levels = [(R.level_rank(facts[e.keys[0]].header, ctx.words), e) for e in plan.entities if len(e.keys) == 1 and e.keys[0] in facts and ctx.onto.is_a(e.schema, "Organization")]
+    levels = sorted([(r, e) for r, e in levels if r is not None], key=lambda x: (x[0], facts[x[1].keys[0]].index))
+    pairs = [(b, a) for rb, b in levels for ra, a in levels if ra < rb]
+    if not pairs:
+        return {}
+    asked = [S.nested(ctx.frame, b.keys[0], a.keys[0], NESTING).withColumn("pair", F.lit(k)) for k, (b, a) in enumerate(pairs)]
+    answers = asked[0]
+    for other in asked[1:]:
+        answers = answers.unionByName(other)
+    got = {r["pair"]: r for r in answers.collect()}  # a row per pair of level columns
+    parents: dict[str, str] = {}
+    for rank, b in levels:
+        fits = [(-got[k]["outer_values"], -got[k]["share"], facts[a.keys[0]].index, a) for k, (x, a) in enumerate(pairs) if x is b and got[k]["nested"]]
+        coarser = [a for r, a in levels if r < rank]
+        if fits:
+            parents[b.key] = min(fits, key=lambda x: x[:3])[3].key
+        elif coarser:
+            parents[b.key] = coarser[-1].key
+    for b, a in [(b, a) for _, b in reversed(levels) for _, a in levels if parents.get(b.key) == a.key]:
+        if not got[next(k for k, p in enumerate(pairs) if p[0] is b and p[1] is a)]["nested"]:
+            b.keys = [*a.keys, *b.keys]
+    return parents
 
 
 def nest_organisations(plan: Plan, ctx: Context) -> None:
-    """Organisations of level columns refer to the next coarser one that (nearly) determines them."""
-    levels = [(R.level_rank(ctx.facts(e.keys[0]).header, ctx.words), e) for e in plan.entities if len(e.keys) == 1 and ctx.facts(e.keys[0]) and ctx.onto.is_a(e.schema, "Organization")]
-    levels = sorted([(r, e) for r, e in levels if r is not None], key=lambda x: (x[0], ctx.facts(x[1].keys[0]).index))
-    for (ra, a), (rb, b) in zip(levels, levels[1:], strict=False):
-        if ra == rb:
-            continue
-        if S.nested(ctx.frame, b.keys[0], a.keys[0], NESTING).first()["nested"]:
-            plan.attachments.append(Attachment(b.key, "parent", a.key))
-        else:
-            b.keys = [a.keys[0], *b.keys]  # a relative designation: told apart by the unit it is written under
-            plan.attachments.append(Attachment(b.key, "parent", a.key))
+    """Attachments to parents instead of edges: those within the tree go, and those to an ancestor of what they also join."""
+    parents = level_tree(plan, ctx)
+    if not parents:
+        return
+    plan.attachments += [Attachment(child, "parent", parent) for child, parent in parents.items()]
+
+    def above(key: str) -> set[str]:
+        out: set[str] = set()
+        while key in parents and key not in out:
+            key = parents[key]
+            out.add(key)
+        return out
+
+    tree = set(parents) | set(parents.values())
+    inside = [r for r in plan.edges if r.source in tree and r.target in tree]
+    outside = [r for r in plan.edges if r not in inside]
+    implied = [
+        r for r in outside
+        if any(o is not r and o.schema == r.schema and ((o.source == r.source and r.target in above(o.target)) or (o.target == r.target and r.source in above(o.source))) for o in outside)
+    ]
+    plan.edges = [r for r in outside if r not in implied]
 
 
 def merge_group_twins(plan: Plan, ctx: Context) -> None:
@@ -276,6 +373,13 @@ def merge_group_twins(plan: Plan, ctx: Context) -> None:
             plan.entities.remove(e)
         else:
             seen[mark] = e
+    groups, facts = R.prefix_groups(ctx.columns), {c.id: c for c in ctx.columns}
+    for k, a in enumerate(list(plan.entities)):
+        for b in list(plan.entities)[k + 1 :]:
+            if a in plan.entities and b in plan.entities and a.schema == b.schema and a.filter == b.filter and R.share_prefix_group(groups, a, b, facts, ctx.words):
+                better = sorted((a, b), key=lambda e: (-max(facts[c].identification for c in e.keys), plan.entities.index(e)))
+                _rename(plan, better[1].key, better[0].key)
+                plan.entities.remove(better[1])
 
 
 def _rename(plan: Plan, old: str, new: str) -> None:
@@ -314,6 +418,19 @@ def rehome_varying(plan: Plan, ctx: Context) -> None:
                 b.entity, b.prop = row.key, f"{row.schema}:{b.prop.partition(':')[2]}"
 
 
+def spelled_property_beats_relation(plan: Plan, ctx: Context) -> None:
+    """A column bound to a relation whose header spells one property of one party goes to that party."""
+    relations = {r.key for r in plan.edges}
+    parties = [e for e in plan.entities if ctx.onto.is_party(e.schema)]
+    for b in [b for b in plan.bindings if b.entity in relations and ctx.facts(b.column)]:
+        header = fold_text(ctx.facts(b.column).header)
+        fits = [(e, p) for e in parties for p in ctx.onto.props(e.schema).values() if p.type != "entity" and header and header in R.spellings_of(ctx.onto, e.schema, p.name)]
+        if len(fits) == 1:
+            e, p = fits[0]
+            plan.decisions.append(Decision(b.column, b.prop, b.entity, "rejected", "the header spells a property of a party"))
+            b.entity, b.prop, b.type_name, b.why = e.key, f"{e.schema}:{p.name}", p.type, "the header spells a property of the party"
+
+
 def key_relation_on_record(plan: Plan, ctx: Context) -> None:
     """The single relation of a row is told apart by the only unused column of (nearly) unique, not ordinal, numbers."""
     used = {b.column for b in plan.bindings} | {k for x in (*plan.entities, *plan.edges) for k in x.keys}
@@ -404,13 +521,14 @@ LATER = (
 )
 LAST = (
     nest_organisations, lambda p, c: R.derive_relations(p, c.columns, c.onto, c.words), lambda p, c: R.derive_debts(p, c.columns, c.onto, c.words), key_relation_on_record,
-    lambda p, c: R.bind_edge_properties(p, c.columns, c.onto, c.words), dissolve_relation_things,
+    lambda p, c: R.bind_edge_properties(p, c.columns, c.onto, c.words), spelled_property_beats_relation, dissolve_relation_things, attach_identification_holder,
 )
 
 
 def validate(plan: Plan, ctx: Context, refinement: str = "rules", overrides: dict[str, dict] | None = None) -> Plan:
     """The plan after all rules; with ``refinement="none"`` nothing is added, only checked. Decisions tell why."""
     steps = [resolve_entity_keys, refuse_columns]
+    steps += [resolve_subject_contradiction] if refinement == "rules" else ()
     steps += ADDITIVE if refinement == "rules" else ()
     steps += [check_bindings]
     steps += (*LATER, check_bindings) if refinement == "rules" else ()

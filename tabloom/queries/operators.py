@@ -272,6 +272,13 @@ def entity_merge(spark, d):
     return got.select("id", "schema", F.array_join(flat, ",").alias("properties"))
 
 
+@query(_IDS + """ SELECT mid AS entity_id, 'namesMentioned' AS prop, c_name AS value FROM c UNION SELECT mid, 'namesMentioned', n_name FROM c""")
+def names_mentioned(spark, d):
+    """Memberships under the names of their two ends."""
+    _, rows, long = _long(spark, d)
+    return P.names_mentioned(long, P.references(rows, PLAN, SRC), ["Membership"]).select("entity_id", "prop", "value")
+
+
 @query("""SELECT 'Person' AS schema, 'person' AS entity, count(DISTINCT c_custkey) AS instances FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT 'PublicBody', 'nation', count(DISTINCT c_nationkey) FROM customer JOIN nation ON c_nationkey = n_nationkey
 UNION ALL SELECT 'Membership', 'membership', count(*) FROM (SELECT DISTINCT c_custkey, c_nationkey FROM customer JOIN nation ON c_nationkey = n_nationkey)""")
 def instances(spark, d):

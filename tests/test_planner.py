@@ -109,3 +109,75 @@ def test_samples_equal_the_plain_definition(spark):
         if free:
             chosen.append(min(free, key=lambda v: (-part[v], -of_shape[shape[v]], v)))
     assert S.samples(df).first()["samples"] == chosen
+
+
+def facts_of(**columns):
+    from tabloom.plans.facts import ColumnFacts
+
+    return [ColumnFacts(cid, k, **f) for k, (cid, f) in enumerate(columns.items())]
+
+
+def test_roles_groups_and_contradictions_need_no_data():
+    cols = facts_of(c0={"header": "agent_name", "distinct_ratio": 0.5, "fill_rate": 1.0}, c1={"header": "agent_code", "distinct_ratio": 1.0, "fill_rate": 1.0}, c2={"header": "owner"})
+    by, ctx = {c.id: c for c in cols}, V.Context(None, cols)
+    a, b, c = Entity("a", "Person", ["c0"]), Entity("b", "Person", ["c1"]), Entity("c", "Person", ["c2"])
+    assert R.role_keyed(c, by) and not R.role_keyed(a, by)
+    groups = R.prefix_groups(cols)
+    assert R.share_prefix_group(groups, a, b, by) and not R.share_prefix_group(groups, a, c, by)
+    plan = Plan("Person", [a, b, c], [], [Binding("c0", "Person:name", "a", "name")])
+    V.merge_group_twins(plan, ctx)
+    assert [e.key for e in plan.entities] == ["b", "c"] and plan.bindings[0].entity == "b"
+    odd = Plan("Vessel", [Entity("p", "Person", ["c0"])], [], [Binding("c0", "Person:name", "p", "name")])
+    V.resolve_subject_contradiction(odd, ctx)
+    assert [(e.key, e.schema) for e in odd.entities] == [("p", "Person"), ("vessel", "Vessel")] and odd.bindings[1].prop == "Vessel:name"
+    same = Plan("LegalEntity", [Entity("p", "Person", ["c0"])])
+    V.resolve_subject_contradiction(same, ctx)
+    assert len(same.entities) == 1
+
+
+def test_refused_keys_come_back_where_nothing_is_better(spark):
+    cols = facts_of(c0={"header": "code", "fill_rate": 0.5, "distinct_ratio": 1.0}, c1={"header": "name", "fill_rate": 0.6, "distinct_ratio": 0.9})
+    frame = spark.createDataFrame([(1, "a", "x"), (2, "b", "y"), (3, None, "z")], "_row long, c0 string, c1 string")
+    ctx = V.Context(frame, cols)
+    plan = Plan("Vessel", [Entity("v", "Vessel", ["c0"])], [], [Binding("c0", "Vessel:imoNumber", "v", "identifier")])
+    V.floor_keys(plan, ctx)
+    assert plan.entities[0].keys == ["c0"] and plan.decisions[-1].verdict == "accepted"
+    plan = Plan("Vessel", [Entity("v", "Vessel", ["c0"])], [], [Binding("c1", "Vessel:name", "v", "name")])
+    V.floor_keys(plan, ctx)
+    assert plan.entities[0].keys == ["c0"]
+    plan = Plan("Vessel", [Entity("v", "Vessel", ["c0"])], [], [])
+    V.floor_keys(plan, ctx)
+    assert plan.entities[0].keys == []
+
+
+def test_levels_form_a_tree_and_relative_names_are_told_apart(spark):
+    rows = [(i, f"U{i % 2}", f"V{i % 4}", f"S{i % 3}") for i in range(24)]
+    frame = spark.createDataFrame(rows, "_row long, c0 string, c1 string, c2 string")
+    cols = facts_of(c0={"header": "Управління"}, c1={"header": "Відділ"}, c2={"header": "Сектор"})
+    plan = Plan("Organization", [Entity(k, "Organization", [c]) for k, c in (("u", "c0"), ("v", "c1"), ("s", "c2"))], [R_edge("e", "u", "v")])
+    V.nest_organisations(plan, V.Context(frame, cols))
+    assert {(a.entity, a.target) for a in plan.attachments} == {("v", "u"), ("s", "v")} and plan.edges == []
+    assert {e.key: e.keys for e in plan.entities} == {"u": ["c0"], "v": ["c1"], "s": ["c1", "c2"]}
+
+
+def R_edge(key, a, b):
+    from tabloom.plans.model import Relation
+
+    return Relation(key, "Ownership", a, b)
+
+
+def test_spelled_properties_holders_and_blocs(spark):
+    cols = facts_of(c0={"header": "name"}, c1={"header": "Email"}, c2={"header": "owner"})
+    ctx = V.Context(None, cols)
+    plan = Plan("Vessel", [Entity("p", "Person", ["c0"]), Entity("i", "Identification", ["c1"])], [R_edge("own", "p", "i")], [Binding("c1", "Ownership:recordId", "own", "identifier")])
+    V.spelled_property_beats_relation(plan, ctx)
+    V.attach_identification_holder(plan, ctx)
+    assert (plan.bindings[0].entity, plan.bindings[0].prop) == ("p", "Person:email") and [(a.entity, a.prop, a.target) for a in plan.attachments] == [("i", "holder", "p")]
+    two = Plan("Vessel", [Entity("p", "Person", ["c0"]), Entity("q", "Person", ["c0"]), Entity("i", "Identification", ["c1"])])
+    V.attach_identification_holder(two, ctx)
+    assert not two.attachments and two.decisions[-1].verdict == "declined"
+    from tabloom.plans.facts import bloc_profiles
+
+    f = spark.createDataFrame([(1, "a", "x"), (2, "b", None), (3, "b", "y")], "_row long, c0 string, c1 string")
+    got = bloc_profiles(f, [{"id": c, "index": k, "header": c, "label": None, "group": None} for k, c in enumerate(("c0", "c1"))], [("c0", "a"), ("c0", "b")])
+    assert [got["c0", v][1].fill_rate for v in "ab"] == [1.0, 0.5]
