@@ -102,9 +102,9 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_scores(spark: SparkSession, d: str) -> DataFrame:
-    documents = table(spark, d, "documents")
-    model = toxicity.fit_corpus(documents, table(spark, d, "doc_labels"))
-    return toxicity.score_documents(documents, model, ["doc_id", "source"])
+    keep = ["doc_id", "source"]
+    model, rows = toxicity.fit_corpus(table(spark, d, "documents"), table(spark, d, "doc_labels"), keep=keep)
+    return toxicity.score_numbered(rows, model, keep)
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:

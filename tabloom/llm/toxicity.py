@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.session import map_batches
+from tabloom.session import map_batches, scratch
 
 CATEGORIES = ("abusive", "hateful", "sexual")
 #: Bound of the sample of labelled documents that the scores are fitted on.
@@ -185,7 +185,10 @@ class Model:
 
     def judge(self, text: str | None) -> dict[str, tuple[float, int, int, int]]:
         """Per category: -log10 of the chance of its passages, the best one (in words), how many make the score."""
-        numbers = self.lexis.numbers(self.resolve(tokens_of(text)))
+        return self.verdicts(self.lexis.numbers(self.resolve(tokens_of(text))))
+
+    def verdicts(self, numbers: np.ndarray) -> dict[str, tuple[float, int, int, int]]:
+        """``judge`` of a text that is read into numbers already."""
         out = {}
         for c, known in self.scores.items():
             found = passages(known[numbers]) if len(numbers) else []
@@ -288,23 +291,48 @@ def _calibrate(model: Model, c: str, corpus: np.ndarray, clean: list[np.ndarray]
     model.scale[c], model.factor[c] = scale, math.exp(scale * location)
 
 
-def corpus_counts(documents: DataFrame, text: str, lexis: Lexis) -> np.ndarray:
-    """How often each number of the lexis occurs in all documents. One shuffle of partial sums; as many rows as the lexis has."""
+def numbered(documents: DataFrame, text: str, lexis: Lexis, keep: list[str]) -> DataFrame:
+    """Every document read into numbers once, and the counts of the numbers, written to the shared folder.
+
+    Rows of documents hold ``keep`` and their numbers (with starred words the text instead: what these stand for is known
+    only after fitting); rows with counts hold what one task counted. Every text is read whole, by one task.
+    """
     shared = documents.sparkSession.sparkContext.broadcast(lexis)  # of the bounded sample
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*keep).schema)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, counts = shared.value, None
         for pdf in batches:
             counts = np.zeros(len(known.names), dtype=np.int64) if counts is None else counts
-            for t in pdf["text"]:
-                counts += np.bincount(known.numbers(tokens_of(t)), minlength=len(counts)) if t else 0
+            numbers, starred = [], []
+            for t in pdf["__text"]:
+                words = tokens_of(t)
+                got = known.numbers(words)
+                counts += np.bincount(got, minlength=len(counts))
+                star = any("*" in w for w in words)
+                numbers.append(None if star else got.astype(np.int32))
+                starred.append(t if star else None)
+            out = pdf[keep].copy()
+            out["__numbers"], out["__starred"] = pd.Series(numbers, dtype=object, index=out.index), pd.Series(starred, dtype=object, index=out.index)
+            out["__counts"] = pd.Series([None] * len(out), dtype=object, index=out.index)
+            yield out
         if counts is not None:
             at = np.flatnonzero(counts)
-            yield pd.DataFrame({"number": at, "n": counts[at]})
+            last = pdf[keep].iloc[:1].copy()
+            last["__numbers"], last["__starred"], last["__counts"] = [at.astype(np.int32)], pd.Series([None], dtype=object, index=last.index), [counts[at]]
+            yield last
+
+    got = map_batches(documents.select(*keep, F.col(text).alias("__text")), run, own + ", __numbers array<int>, __starred string, __counts array<bigint>")
+    folder = scratch(documents.sparkSession, "numbers")
+    got.write.parquet(folder)
+    return documents.sparkSession.read.parquet(folder)
+
 
-    parts = map_batches(documents.select(F.col(text).alias("text")), run, "number long, n long").groupBy("number").agg(F.sum("n").alias("n"))
+def corpus_counts(rows: DataFrame, lexis: Lexis) -> np.ndarray:
+    """How often each number of the lexis occurs in all documents (``rows`` of ``numbered``); as many rows as the lexis has."""
+    parts = rows.where("__counts IS NOT NULL").select(F.explode(F.arrays_zip("__numbers", "__counts")).alias("x"))
     out = np.zeros(len(lexis.names), dtype=np.int64)
-    for r in parts.collect():
+    for r in parts.groupBy(F.col("x.__numbers").alias("number")).agg(F.sum("x.__counts").alias("n")).collect():
         out[r["number"]] = r["n"]
     return out
 
@@ -334,24 +362,25 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, row_id: str, text:
     return [(r["words"].split(), frozenset(r["categories"])) for r in map_batches(chosen, run, "words string, categories array<string>").collect()]
 
 
-def fit_corpus(documents: DataFrame, labels: DataFrame, row_id: str = "doc_id", text: str = "text", most: int = MOST_LABELLED) -> Model:
-    """A model of a corpus and its labelled documents."""
+def fit_corpus(documents: DataFrame, labels: DataFrame, row_id: str = "doc_id", text: str = "text", most: int = MOST_LABELLED, keep: list[str] | None = None) -> tuple[Model, DataFrame]:
+    """A model of a corpus and its labelled documents, and the corpus as ``numbered`` with ``keep`` (the id by default)."""
     labelled = labelled_sample(documents, labels, row_id, text, most)
     lexis = lexis_of(w for w, _ in labelled)
-    return fit(labelled, lexis, corpus_counts(documents, text, lexis))
+    rows = numbered(documents, text, lexis, keep or [row_id])
+    return fit(labelled, lexis, corpus_counts(rows, lexis)), rows
 
 
-def score_documents(documents: DataFrame, model: Model, keep: list[str], text: str = "text", categories: tuple[str, ...] = CATEGORIES) -> DataFrame:
-    """``keep`` and for each category its score, best passage and flag; a narrow map over whole texts."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+def _scored(source: DataFrame, model: Model, keep: list[str], categories: tuple[str, ...]) -> DataFrame:
+    """``keep`` and the verdicts on rows of __numbers or else __starred, a text."""
+    shared = source.sparkSession.sparkContext.broadcast(model)
     columns = ", ".join(f"{c} boolean, {c}_score double, {c}_start int, {c}_end int" for c in categories)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*keep).schema) + ", " + columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*keep).schema) + ", " + columns
     least = -math.log10(EXPECTED)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for pdf in batches:
-            got = [m.judge(t) for t in pdf["__text"]]
+            got = [m.judge(t) if n is None else m.verdicts(np.asarray(n)) for n, t in zip(pdf["__numbers"], pdf["__starred"], strict=True)]
             out = pdf[keep].copy()
             for c in categories:
                 out[c] = [g[c][0] >= least for g in got]
@@ -360,7 +389,17 @@ def score_documents(documents: DataFrame, model: Model, keep: list[str], text: s
                 out[f"{c}_end"] = pd.Series([g[c][2] for g in got], dtype="int32", index=out.index)
             yield out
 
-    return map_batches(documents.select(*keep, F.col(text).alias("__text")), run, schema)
+    return map_batches(source.select(*keep, "__numbers", "__starred"), run, schema)
+
+
+def score_numbered(rows: DataFrame, model: Model, keep: list[str], categories: tuple[str, ...] = CATEGORIES) -> DataFrame:
+    """``keep`` and for each category score, best passage and flag of the documents of ``numbered``; a narrow map."""
+    return _scored(rows.where("__counts IS NULL"), model, keep, categories)
+
+
+def score_documents(documents: DataFrame, model: Model, keep: list[str], text: str = "text", categories: tuple[str, ...] = CATEGORIES) -> DataFrame:
+    """The same for any documents; a narrow map over whole texts."""
+    return _scored(documents.select(*keep, F.lit(None).cast("array<int>").alias("__numbers"), F.col(text).alias("__starred")), model, keep, categories)
 
 
 def rates(scored: DataFrame, source: str = "source", categories: tuple[str, ...] = CATEGORIES) -> DataFrame:

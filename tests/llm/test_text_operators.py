@@ -251,7 +251,7 @@ def corpus(n=600):
 def test_toxic_passages_are_found_on_held_out_documents(spark):
     docs = corpus()
     df = spark.createDataFrame(docs, "doc_id long, text string, category string")
-    model = X.fit_corpus(df.select("doc_id", "text"), df.where("doc_id < 400").select("doc_id", "category"))
+    model, _ = X.fit_corpus(df.select("doc_id", "text"), df.where("doc_id < 400").select("doc_id", "category"))
     got = X.score_documents(df, model, ["doc_id", "category"]).where("doc_id >= 400").collect()
     right = sum(all(r[c] == (r["category"] == c) for c in X.CATEGORIES) for r in got)
     assert right >= 0.9 * len(got)
@@ -262,11 +262,15 @@ def test_toxic_passages_are_found_on_held_out_documents(spark):
     scored = {r["doc_id"]: r for r in X.score_documents(odd, model, ["doc_id", "source"]).collect()}
     assert not any(scored[i][c] for i in (1, 2, 3) for c in X.CATEGORIES) and scored[4]["abusive"]
     assert X.rates(X.score_documents(odd, model, ["doc_id", "source"])).count() == 2
+    # What was read into numbers once comes out as what is read anew.
+    model, rows = X.fit_corpus(odd, df.select("doc_id", "category").limit(0), keep=["doc_id", "source"])
+    both = [sorted(map(tuple, x.collect()), key=str) for x in (X.score_numbered(rows, model, ["doc_id"]), X.score_documents(odd, model, ["doc_id"]))]
+    assert both[0] == both[1] and len(both[0]) == 4
 
 
 def test_without_labels_nothing_is_found(spark):
     df = spark.createDataFrame(corpus(30), "doc_id long, text string, category string")
-    model = X.fit_corpus(df.select("doc_id", "text"), df.select("doc_id", "category").limit(0))
+    model, _ = X.fit_corpus(df.select("doc_id", "text"), df.select("doc_id", "category").limit(0))
     assert X.score_documents(df, model, ["doc_id"]).where("abusive OR hateful OR sexual").count() == 0
 
 
