@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.session import map_batches
+from tabloom.session import cut, map_batches, ship
 
 UNMATCHED = "unmatched"
 #: Stands for the rest of a word in a folded value.
@@ -201,9 +201,15 @@ class Catalogue:
         if key not in self.cache:
             if len(self.cache) > 100_000:
                 self.cache.clear()
-            self.cache[key] = self._find(text, (group or "").lower())
+            self.cache[key] = self.pick(*self.nearest(text), group)
         return self.cache[key]
 
+    def pick(self, near: list[str], distance: int, group: str | None) -> tuple[str, int]:
+        """The one of the nearest entries that is meant: that of the group, else the only one."""
+        group = (group or "").lower()
+        near = [q for q in near if self.group[q] == group] or near
+        return (near[0], distance) if len(near) == 1 else (UNMATCHED, -1)
+
     def _long(self, words: list[str], most: int) -> dict[str, int]:
         """Entries of many words whose words, in any order, are those of the value."""
         if len(words) <= self.ORDERED or not self.long:
@@ -222,14 +228,15 @@ class Catalogue:
                     found[q] = min(found.get(q, d), d)
         return found
 
-    def _find(self, text: str, group: str) -> tuple[str, int]:
+    def nearest(self, text: str, within: int = 2) -> tuple[list[str], int]:
+        """The entries at the least distance, at most ``within``, and that distance; none and -1 if there are none."""
         words = words_of(text)
         letters = sum(len(w.rstrip(REST)) for w in words if not w.isdigit())
         if not letters:
-            return UNMATCHED, -1
+            return [], -1
         solid, most = "".join(words).replace(REST, ""), allowed(letters)
         spaced = " ".join(words) if any(w.endswith(REST) for w in words) else None
-        for bound in range(most + 1):
+        for bound in range(min(most, within) + 1):
             best = self.solid.search(solid, bound)
             if spaced is not None and bound <= most // 2:
                 for q, d in self.spaced.search(spaced, bound).items():
@@ -237,10 +244,8 @@ class Catalogue:
             for q, d in self._long(words, bound).items():
                 best[q] = min(best.get(q, d), d)
             if best:
-                near = sorted(q for q, d in best.items() if d == bound)
-                near = [q for q in near if self.group[q] == group] or near
-                return (near[0], bound) if len(near) == 1 else (UNMATCHED, -1)
-        return UNMATCHED, -1
+                return sorted(q for q, d in best.items() if d == bound), bound
+        return [], -1
 
 
 #: Catalogues of this Python process by the name they were given on the driver.
@@ -294,12 +299,48 @@ def mine_aliases(pairs: DataFrame, one: str, other: str, group: str, entries: li
     return best.where(enough & (F.col("votes") >= SHARE * F.col("all"))).select("qname", "alias", "votes")
 
 
-def map_to_catalogue(values: DataFrame, text: str, group: str, entries: list[dict], keep: list[str], aliases: DataFrame | None = None, most_aliases: int = 50_000) -> DataFrame:
+def _search_rest(texts: DataFrame, rest: DataFrame, entries: list[dict], shard: int, values: int) -> DataFrame:
+    """(__text, near, distance) of the texts with what the aliases of ``rest`` add to it.
+
+    The aliases are cut into shards, by length, of about ``shard``; every text is searched in a trie of each, within the
+    distance that it has. The nearest entries of all are the nearest of the shards' nearest, so nothing is lost.
+    """
+    texts = cut(texts)
+    shards, slices = -(-rest.count() // shard), max(1, -(-texts.count() // values))
+    order = [F.length("alias"), "alias", "qname"]
+    numbered = cut(rest.repartitionByRange(shards, *order).select("qname", "alias", F.spark_partition_id().alias("shard")))
+    here = numbered.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    there = texts.withColumns({"s": F.pmod(F.xxhash64("__text"), F.lit(slices)).cast("int"), "t": F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))})
+    bare = [{"qname": e["qname"], "schema_name": e["schema_name"], "prop_name": None, "label": None, "label_uk": None} for e in entries]
+    ship(texts.sparkSession)
+
+    def run(found: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        also: dict[str, list[str]] = {}
+        for q, alias in own[["qname", "alias"]].itertuples(index=False):
+            also.setdefault(q, []).append(alias)
+        known, out = Catalogue(bare, also), []
+        for text, d in found[["__text", "distance"]].itertuples(index=False):
+            got = known.nearest(text, d if d >= 0 else 2)
+            if got[0]:
+                out.append((text, *got))
+        return pd.DataFrame(out, columns=["__text", "near", "distance"])
+
+    schema = "__text string, near array<string>, distance int"
+    more = there.groupBy("t", "s").cogroup(here.groupBy("shard", "slice")).applyInPandas(run, schema)
+    every = texts.unionByName(more).where("distance >= 0")
+    least = every.groupBy("__text", "distance").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))).alias("near"))
+    return least.groupBy("__text").agg(F.min_by("near", "distance").alias("near"), F.min("distance").alias("distance"))
+
+
+def map_to_catalogue(
+    values: DataFrame, text: str, group: str, entries: list[dict], keep: list[str], aliases: DataFrame | None = None, most_aliases: int = 50_000, shard: int = 5_000, slice_values: int = 20_000
+) -> DataFrame:
     """``keep`` with qname and distance of each non-null value.
 
     ``entries`` as of ``read_catalogue``; ``aliases`` (qname, alias, votes) may be as many as the values give: the
-    ``most_aliases`` with most votes are in the trie of every worker, the others are joined on the folded value. The map
-    is narrow, so a value that a third of all rows carry costs one search per worker and no shuffle.
+    ``most_aliases`` with most votes are in the trie of every worker. Up to that many the map is narrow, so a value that a
+    third of all rows carry costs one search per worker and no shuffle. If there are more, distinct values are also searched
+    in tries of the others, ``shard`` aliases and ``slice_values`` values a task, with the result of one trie of all.
     """
     by_votes: list = []
     if aliases is not None:
@@ -308,22 +349,31 @@ def map_to_catalogue(values: DataFrame, text: str, group: str, entries: list[dic
     for r in by_votes[:most_aliases]:
         also.setdefault(r["qname"], []).append(r["alias"])
     source = values.where(F.col(text).isNotNull()).select(*keep, F.col(text).alias("__text"), F.col(group).alias("__group"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in values.select(*keep).schema) + ", qname string, distance int, __folded string"
-    name, more = uuid.uuid4().hex, len(by_votes) > most_aliases
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in values.select(*keep).schema) + ", qname string, distance int"
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = _catalogue(name, entries, also)
         for pdf in batches:
-            got = [known.find(t, g) for t, g in zip(pdf["__text"], pdf["__group"], strict=True)]
+            if "__near" in pdf:
+                rows = pdf[["__near", "__distance", "__group"]].itertuples(index=False)
+                got = [(UNMATCHED, -1) if near is None else known.pick(list(near), int(d), g) for near, d, g in rows]
+            else:
+                got = [known.find(t, g) for t, g in zip(pdf["__text"], pdf["__group"], strict=True)]
             out = pdf[keep].copy()
             out["qname"], out["distance"] = [q for q, _ in got], pd.Series([d for _, d in got], dtype="int32", index=out.index)
-            out["__folded"] = [folded(t) if more and d != 0 else None for t, (_, d) in zip(pdf["__text"], got, strict=True)]
             yield out
 
-    found = map_batches(source, run, schema)
-    if more:
-        rest = aliases.groupBy(F.col("alias").alias("__folded")).agg(F.max_by("qname", F.struct("votes", "qname")).alias("__qname"))
-        found = found.join(rest, "__folded", "left")
-        hit = F.col("__qname").isNotNull()
-        found = found.withColumns({"qname": F.coalesce("__qname", "qname"), "distance": F.when(hit, 0).otherwise(F.col("distance"))})
-    return found.select(*keep, "qname", "distance")
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = _catalogue(name, entries, also)
+        for pdf in batches:
+            yield pd.DataFrame([(t, *known.nearest(t)) for t in pdf["__text"]], columns=["__text", "near", "distance"])
+
+    if len(by_votes) > most_aliases:
+        last = by_votes[most_aliases]
+        same, later = F.col("alias") == last["alias"], F.col("alias") > last["alias"]
+        after = (F.col("votes") < last["votes"]) | (F.col("votes") == last["votes"]) & (later | same & (F.col("qname") >= last["qname"]))
+        texts = map_batches(source.select("__text").distinct(), nearest, "__text string, near array<string>, distance int")
+        found = _search_rest(texts, aliases.where(after), entries, shard, slice_values)
+        source = source.join(found.select("__text", F.col("near").alias("__near"), F.col("distance").alias("__distance")), "__text", "left")
+    return map_batches(source, run, schema).select(*keep, "qname", "distance")

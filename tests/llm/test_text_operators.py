@@ -152,6 +152,21 @@ def test_aliases_come_from_neighbours_and_need_agreement(spark):
     assert U.mine_aliases(df.limit(0), "h", "p", "g", cat).count() == 0
 
 
+def test_aliases_beyond_the_workers_trie_are_found_as_those_in_it(spark):
+    """Misspelled, in another order, abbreviated, beside the group, of many words, and tied with other entries."""
+    cat = U.read_catalogue(spark.createDataFrame(CATALOGUE, "qname string, schema_name string, prop_name string, label string, label_uk string"))
+    rows = [("A:birthDate", "entered the world", 5), ("A:deathDate", "left us", 4), ("B:model", "shape", 3), ("C:model", "shape", 3), ("B:model", "birth dates", 2), ("A:deathDate", "day of the last breath taken", 2), ("D:gone", "stranger", 2)]
+    aliases = spark.createDataFrame(rows, "qname string, alias string, votes long")
+    texts = ["Entered the world", "the wrold entered", "ent. the world", "A entered the world", "lft us", "shape", "shaep", "Birth date", "birth datess", "breath taken the last day of", "breth taken the last day of", "Model", "stranger", "zzz", "", "12", None]
+    df = spark.createDataFrame([(2 * i + k, t, g) for i, t in enumerate(texts) for k, g in enumerate((None, "c"))], "id long, t string, g string")
+    mapped = lambda most, *sizes: sorted(map(tuple, U.map_to_catalogue(df, "t", "g", cat, ["id"], aliases, most, *sizes).collect()))
+    whole = mapped(10)
+    assert mapped(3) == whole
+    assert mapped(1, 2, 3) == whole and mapped(0, 3, 100) == whole
+    at = {i: (q, d) for i, q, d in whole}
+    assert at[2] == ("A:birthDate", 1) and at[8] == ("A:deathDate", 1) and at[10] == ("unmatched", -1) and at[13] == ("C:model", 1) and at[14] == ("A:birthDate", 0) and at[20] == ("A:deathDate", 1)
+
+
 def test_the_automaton_agrees_with_brute_force():
     rng, trie, words = random.Random(2), U.Trie(), set()
     for _ in range(200):
