@@ -87,6 +87,55 @@ def test_every_pair_that_is_one_party_meets():
     assert met > 3000
 
 
+def test_keys_meet_by_rests_and_ends_if_near_and_hardly_otherwise():
+    rng = random.Random(5)
+    of = lambda key: {int(t) for _, tokens in N.key_tokens([key]) for t in tokens.ravel()}
+    met = Counter()
+    for _ in range(8000):
+        a = "".join(rng.choice("abcdї") for _ in range(rng.randint(1, 22)))
+        b = list(a)
+        for _ in range(rng.randint(1, 3)):
+            at = rng.randrange(len(b) + 1)
+            if rng.random() < 0.5:
+                b[at : at + 2] = b[at : at + 2][::-1]
+            else:
+                b[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "d"])
+        b = "".join(b)
+        least, apart = N.allowed_edits(min(len(a), len(b))), N.osa(a, b, 3)
+        if b and apart <= min(least, 2):
+            met[min(len(a), len(b)) > N.SHORT_KEY] += 1
+            assert of(a) & of(b), (a, b)
+        if apart <= least == 3:
+            met[3] += 1
+            assert set(N.end_entries(a)) & set(N.end_entries(b)), (a, b)
+    assert min(met[False], met[True], met[3]) > 500
+    # All of these share a segment, so the segments of 1,000 bare names met half a million times; hardly any two are near.
+    keys = sorted({"".join(rng.choice("abdehiklmnoprstuv") for _ in range(7)) + "mutnuk" for _ in range(1000)})
+    tokens = np.concatenate([t for _, t in N.key_tokens(keys)])
+    pairs = [(a, b) for x, y in N.shared_runs(tokens.ravel(), np.repeat(np.arange(len(keys)), tokens.shape[1])) for a, b in zip(x, y, strict=True)]
+    ends = Counter(e for key in keys for e in {*N.index_entries(key, 2)})
+    assert max(ends.values()) == len(keys) and len(pairs) < len(keys)
+    assert sorted(zip(*[x.tolist() for x in map(np.concatenate, zip(*N.shared_runs(np.array([7, 5, 7, 7, 5]), np.array([1, 2, 3, 3, 1])), strict=True))], strict=True)) == [(1, 2), (1, 3), (1, 3)]
+
+
+def test_candidates_hold_every_pair_that_is_one_party(spark):
+    rng = random.Random(8)
+    spellings = []
+    for sid in range(400):
+        keys = ["".join(rng.choice("ab") for _ in range(rng.choice([3, 4, 5, 7, 9, 10, 11]))) + rng.choice(["", "", "cdcdcdcdcd"]) for _ in range(rng.choice([1, 1, 2]))]
+        x = {"kind": rng.choice("po"), "keys": keys, "given": "", "patronymic": "", "form": "", "trade": "", "birth": "", "place": rng.choice(["", "x"]), "reg": ""}
+        if x["kind"] == "p":
+            x |= {"given": rng.choice(["", "i.", "ivan"]), "patronymic": rng.choice(["", "petroviT"]), "birth": rng.choice(["", "2000-01-01"])}
+        else:
+            x |= {"keys": keys[:1], "trade": rng.choice(["", "prom", "proekt|prom"]), "reg": rng.choice(["", "", "1"])}
+        spellings.append(x | {"sid": sid})
+    schema = "sid long, kind string, keys array<string>, given string, patronymic string, form string, trade string, birth string, place string, reg string"
+    df = spark.createDataFrame([tuple(x[c] for c in ("sid", *N.FIELDS)) for x in spellings], schema)
+    got = [tuple(r) for r in N._candidates(df).collect()]
+    one = {(a["sid"], b["sid"]) for i, a in enumerate(spellings) for b in spellings[i + 1 :] if N.same_party(a, b)}
+    assert len(one) > 300 and one <= set(got) and len(got) == len(set(got))
+
+
 def test_trades_are_the_words_that_many_organisations_have(spark):
     rows = [(f"ТОВ Назва{chr(1072 + i)}{chr(1072 + i)} {'Буд' if i % 2 else 'Агро'}", "organisation") for i in range(20)] + [("Агро Іван", "person"), (None, "organisation"), ("ПП Агро", "organisation")]
     df = spark.createDataFrame(rows, "n string, k string")
