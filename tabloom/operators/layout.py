@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -122,24 +123,35 @@ def find_header(head: list[list[str | None]], width: int, merges: list[tuple[int
     return out
 
 
+def furniture_kind(header: Header, width: int, sums: bool = True) -> Column:
+    """What a row (its number and cells) is if no record: blank, repeat_header, totals, sparse, or title, group above the body; null for records.
+
+    A function of the row alone; the cells, which are computed, are named once. Without ``sums`` totals and sparse rows count as records.
+    """
+    body = max([x for x in (header.row, header.label_row) if x is not None], default=-1)
+    named = [(k, n) for k, n in enumerate(header.names) if n is not None]
+
+    def kind(cells: Column) -> Column:
+        blank = ~F.exists(cells, lambda c: c.isNotNull())
+        again = reduce(lambda a, b: a & b, [F.get(cells, F.lit(k)) == n for k, n in named], F.lit(bool(named)))
+        out = (
+            F.when(F.col(ROW) <= F.lit(body), F.when(F.col(ROW) == F.lit(header.group_row), "group").when(blank, "blank").when(F.col(ROW).isin([x for x in (header.row, header.label_row) if x is not None] or [-1]), None).otherwise("title"))
+            .when(blank, "blank")
+            .when(again, "repeat_header")
+        )
+        if not sums:
+            return out
+        label = F.get(F.filter(cells, lambda c: c.isNotNull()), F.lit(0))
+        tail = F.forall(F.filter(cells, lambda c: c.isNotNull() & (c != label)), lambda c: c.rlike(r"^[\d\s.,\-+%]+$"))
+        return out.when(label.rlike(TOTALS) & tail, "totals").when(F.lit(width >= 3) & (F.size(F.filter(cells, lambda c: c.isNotNull())) == 1), "sparse")
+
+    return F.get(F.transform(F.array("cells"), kind), F.lit(0))
+
+
 def furniture(grid: DataFrame, header: Header, width: int) -> DataFrame:
     """(index, kind, reason) of rows that are no records: blank, repeat_header, totals, sparse; and those above the body."""
-    filled = F.size(F.filter("cells", lambda c: c.isNotNull()))
-    names = F.array(*[F.lit(n).cast("string") for n in header.names])
-    same = F.size(F.filter(F.arrays_zip(F.col("cells").alias("a"), names.alias("b")), lambda p: p["a"].eqNullSafe(p["b"]) & p["a"].isNotNull()))
-    named = sum(n is not None for n in header.names)
-    label = F.get(F.filter("cells", lambda c: c.isNotNull()), F.lit(0))
-    tail = F.forall(F.filter("cells", lambda c: c.isNotNull() & (c != label)), lambda c: c.rlike(r"^[\d\s.,\-+%]+$"))
-    body = max([x for x in (header.row, header.label_row) if x is not None], default=-1)
-    kind = (
-        F.when(F.col(ROW) <= F.lit(body), F.when(F.col(ROW) == F.lit(header.group_row), "group").when(filled == 0, "blank").when(F.col(ROW).isin([x for x in (header.row, header.label_row) if x is not None] or [-1]), None).otherwise("title"))
-        .when(filled == 0, "blank")
-        .when(F.lit(named > 0) & (same == named), "repeat_header")
-        .when(label.rlike(TOTALS) & tail, "totals")
-        .when(F.lit(width >= 3) & (filled == 1), "sparse")
-    )
     why = F.element_at(F.create_map(*[F.lit(x) for kv in {"blank": "no cell is filled", "repeat_header": "the header again", "totals": "a sum of the rows", "sparse": "one cell of several", "title": "above the header", "group": "names of column groups"}.items() for x in kv]), F.col("kind"))
-    return grid.select(F.col(ROW).alias("index"), kind.alias("kind")).where("kind IS NOT NULL").withColumn("reason", why)
+    return grid.select(F.col(ROW).alias("index"), furniture_kind(header, width).alias("kind")).where("kind IS NOT NULL").withColumn("reason", why)
 
 
 @dataclass
@@ -164,7 +176,7 @@ def build_frame(grid: DataFrame, merges: list[tuple[int, int, int, int]] = (), d
     rest = furniture(square, header, width)
     left_out = ["blank", "repeat_header", "title", "group"] + (["totals", "sparse"] if drop_furniture else [])
     body = max([x for x in (header.row, header.label_row) if x is not None], default=-1)
-    rows = square.where(F.col(ROW) > body).join(rest.where(F.col("kind").isin(left_out)).select(F.col("index").alias(ROW)), ROW, "left_anti")
+    rows = square.where((F.col(ROW) > body) & ~F.coalesce(furniture_kind(header, width, drop_furniture).isin(left_out), F.lit(False)))
     columns = [
         {"id": f"c{k}", "index": k, "header": header.names[k], "label": header.labels[k] if header.labels else None, "group": header.groups[k] if header.groups else None} for k in range(width)
     ]

@@ -264,8 +264,8 @@ def unfalsifiable(spark, d):
 def layout_of_a_register(spark, d):
     """The registers' rows under the headers of the first of them as one raw grid, laid out again: its records and its header."""
     heads = table(spark, d, "sources").where(F.size("column_headers") == 14).agg(F.min_by("column_headers", "source_id").alias("h")).first()["h"]
-    rows = table(spark, d, "frame_rows").select(F.col("row_id").cast("int").alias("_row"), F.array(*[f"c{k}" for k in range(14)]).alias("cells"))
-    grid = spark.createDataFrame([(0, heads)], "_row int, cells array<string>").unionByName(rows)
+    rows = table(spark, d, "frame_rows").select(F.col("row_id").cast("long").alias("_row"), F.array(*[f"c{k}" for k in range(14)]).alias("cells"))
+    grid = spark.createDataFrame([(0, heads)], "_row long, cells array<string>").unionByName(rows)
     got = LY.build_frame(grid)
     return got.rows.agg(F.count(F.lit(1)).alias("rows")).select("rows", F.lit(got.header.row).alias("header_row"), F.lit(got.columns[0]["header"]).alias("first_header"))
 

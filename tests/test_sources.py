@@ -90,6 +90,27 @@ def test_two_header_rows_and_repeats(spark):
     assert {r["kind"] for r in f.furniture.collect()} == {"repeat_header", "blank"}
 
 
+def test_a_register_is_laid_out_whatever_its_row_numbers(spark, tmp_path):
+    from tabloom.queries.cases import QUERIES
+
+    heads, names = [f"head {k}" for k in range(14)], ", ".join(f"c{k} string" for k in range(14))
+    spark.createDataFrame([("s", heads)], "source_id string, column_headers array<string>").write.parquet(str(tmp_path / "sources.parquet"))
+    rows = [(n, *[f"{n + k}" for k in range(14)]) for n in (1, 2, 2**31, 5 * 10**9)] + [(5 * 10**9 + 1, *heads), (5 * 10**9 + 2, " ", *[None] * 13), (5 * 10**9 + 3, "total", *["7"] * 13), (5 * 10**9 + 4, "x", *[None] * 13)]
+    spark.createDataFrame(rows, f"row_id long, {names}").write.parquet(str(tmp_path / "frame_rows.parquet"))
+    got = QUERIES["layout_of_a_register"](spark, str(tmp_path)).first()
+    assert got.asDict() == {"rows": 6, "header_row": 0, "first_header": "head 0"}
+
+
+def test_furniture_is_told_by_the_row_alone(spark):
+    rows = [["name", "sum", "more"], ["a", "1", "2"], ["name", "sum", "more"], ["\u00a0", None, " "], ["total", "1", "2"], [" b\t", None, None], [None, "3", "\u3000d"]]
+    grid = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "_row long, cells array<string>")
+    for drop, left in ((False, [1, 4, 5, 6]), (True, [1, 6])):
+        f = L.build_frame(grid, drop_furniture=drop)
+        assert [r["_row"] for r in f.rows.orderBy("_row").collect()] == left
+        assert {(r["index"], r["kind"]) for r in f.furniture.collect()} == {(2, "repeat_header"), (3, "blank"), (4, "totals"), (5, "sparse")}
+    assert [(r["c0"], r["c2"]) for r in L.build_frame(grid).rows.where("_row >= 5").orderBy("_row").collect()] == [("b", None), (None, "d")]
+
+
 def test_an_empty_grid_is_an_empty_frame(spark):
     grid = spark.createDataFrame([], "_row int, cells array<string>")
     f = L.build_frame(grid)
