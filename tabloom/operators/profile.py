@@ -264,7 +264,7 @@ def departures(profile: DataFrame, source: list[str], threshold: float = DEPARTU
 
 def top_shapes(counts: DataFrame, by: list[str], k: int = 5) -> DataFrame:
     """The k commonest shapes of each key and column as an array of (shape, share), ties by shape."""
-    shaped = counts.where("value IS NOT NULL").groupBy(*by, "column_id", X.shape("value").alias("shape")).agg(F.sum("n").alias("n"))
+    shaped = counts.where("value IS NOT NULL").groupBy(*by, "column_id", (F.col("shape") if "shape" in counts.columns else X.shape("value")).alias("shape")).agg(F.sum("n").alias("n"))
     w = Window.partitionBy(*by, "column_id")
     ranked = shaped.withColumn("share", F.col("n") / F.sum("n").over(w)).withColumn("rank", F.row_number().over(w.orderBy(F.desc("n"), "shape")))
     first = ranked.where(F.col("rank") <= k)

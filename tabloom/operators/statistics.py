@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tabloom.functions import canonical as C
 from tabloom.functions import detectors as D
 from tabloom.functions import text as X
+from tabloom.operators import profile as PR
 
 ROW = "_row"
 
@@ -39,7 +40,8 @@ def samples(counts: DataFrame, n: int = 5) -> DataFrame:
     no task sorts a column's values as a whole. Each part keeps its best n + 1, and
     only those few meet to be told apart.
     """
-    seen = counts.where("value IS NOT NULL").withColumn("shape", X.shape("value"))
+    seen = counts.where("value IS NOT NULL")
+    seen = seen if "shape" in counts.columns else seen.withColumn("shape", X.shape("value"))
     by_shape = seen.groupBy("column_id", "shape").agg(F.sum("n").alias("shape_n"))
     total = seen.groupBy("column_id").agg(F.sum("n").alias("total"))
     seen = seen.withColumns({"len": F.length("value"), "head": F.substring("value", 1, 2)})
@@ -49,7 +51,8 @@ def samples(counts: DataFrame, n: int = 5) -> DataFrame:
     inside = Window.partitionBy("column_id", "len", "head").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     placed = seen.join(offsets, ["column_id", "len", "head"]).withColumn("hi", F.col("offset") + F.sum("n").over(inside)).withColumn("lo", F.col("hi") - F.col("n"))
     placed = placed.join(by_shape, ["column_id", "shape"]).join(total, "column_id")
-    part = placed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    near = lambda at, step: F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor(F.col(at) * n / F.col("total")).cast("int") + step))
+    part = placed.withColumn("part", F.explode(F.sequence(near("lo", -1), near("hi", 1))))
     a, b = F.floor(F.col("part") * F.col("total") / n), F.floor((F.col("part") + 1) * F.col("total") / n)
     part = part.withColumn("inside", F.least("hi", b) - F.greatest("lo", a)).where("inside > 0")
     rank = Window.partitionBy("column_id", "part").orderBy(F.desc("inside"), F.desc("shape_n"), "value")
@@ -77,8 +80,10 @@ def acceptance(frame: DataFrame, pairs: list[tuple[str, str]], numeric: dict[str
     """Per (column, type): share of non-placeholder values that canonicalise, and the first ``most`` different refused ones.
 
     All placeholders: 0; no values: 1; a free type: 1. One scan for the shares; the refused values are ranked with a limit
-    per partition before they are shuffled, and with ``most`` = 0 not looked for.
+    per partition before they are shuffled, and with ``most`` = 0 not looked for: then each distinct value is judged once.
     """
+    if not most:
+        return _acceptance_of_values(frame, pairs, numeric or {})
     checks = [
         F.struct(F.lit(c).alias("column"), F.lit(t).alias("type"), F.lit(t in C.FREE_TYPES).alias("free"), cell(c).alias("value"),
                  F.lit(True).alias("ok") if t in C.FREE_TYPES else F.coalesce(C.canonical(F.col(c), t, F.lit((numeric or {}).get(c, False)))["ok"], F.lit(False)).alias("ok"))
@@ -89,14 +94,29 @@ def acceptance(frame: DataFrame, pairs: list[tuple[str, str]], numeric: dict[str
     agg = long.groupBy("column", "type", "free").agg(F.count("value").alias("filled"), F.count_if(real).alias("real"), F.count_if(real & F.col("ok")).alias("accepted"))
     share = F.when(F.col("free") | (F.col("filled") == 0), 1.0).when(F.col("real") == 0, 0.0).otherwise(F.col("accepted") / F.col("real"))
     out = agg.select("column", "type", share.alias("share"), (F.col("real") - F.col("accepted")).alias("refused"))
-    if not most:
-        return out.withColumn("refused_values", F.array().cast("array<string>"))
     first = long.where(real & ~F.col("ok")).groupBy("column", "type", "value").agg(F.min(ROW).alias("first"))
     ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("column", "type").orderBy("first", "value"))).where(F.col("rank") <= most)
     listed = ranked.groupBy("column", "type").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda x: x["value"]).alias("refused_values"))
     return out.join(listed, ["column", "type"], "left").withColumn("refused_values", F.coalesce("refused_values", F.array().cast("array<string>")))
 
 
+def _acceptance_of_values(frame: DataFrame, pairs: list[tuple[str, str]], numeric: dict[str, bool]) -> DataFrame:
+    """The shares of ``acceptance`` from value counts; a row per pair, on an empty frame too."""
+    columns = sorted({c for c, _ in pairs})
+    counts = PR.value_counts(frame.select(F.lit(0).alias("__all"), *columns), ["__all"], columns).where("value IS NOT NULL")
+    real, total = ~X.is_placeholder("value"), lambda where: F.coalesce(F.sum(F.when(where, F.col("n"))), F.lit(0))
+    sums = [x for k, c in enumerate(columns) for x in (total(F.col("column_id") == c).alias(f"filled{k}"), total((F.col("column_id") == c) & real).alias(f"real{k}"))]
+    for k, (c, t) in enumerate(pairs):
+        ok = F.lit(True) if t in C.FREE_TYPES else F.coalesce(C.canonical(F.col("value"), t, F.lit(numeric.get(c, False)))["ok"], F.lit(False))
+        sums.append(total((F.col("column_id") == c) & real & ok).alias(f"accepted{k}"))
+    row, out = counts.agg(*sums), []
+    for k, (c, t) in enumerate(pairs):
+        filled, real, accepted = F.col(f"filled{columns.index(c)}"), F.col(f"real{columns.index(c)}"), F.col(f"accepted{k}")
+        share = F.when(F.lit(t in C.FREE_TYPES) | (filled == 0), 1.0).when(real == 0, 0.0).otherwise(F.try_divide(accepted.cast("double"), real))
+        out.append(F.struct(F.lit(c).alias("column"), F.lit(t).alias("type"), share.alias("share"), (real - accepted).alias("refused"), F.array().cast("array<string>").alias("refused_values")))
+    return row.select(F.explode(F.array(*out)).alias("p")).select("p.*")
+
+
 def kind_columns(counts: DataFrame, rows: int, least_fill: float = 0.9, most: int = 12) -> DataFrame:
     """Columns of 2 to ``most`` values, well filled and not all different: value and n in order of frequency."""
     seen = counts.where("value IS NOT NULL")
@@ -173,8 +193,8 @@ def is_ordinal(frame: DataFrame, column: str) -> DataFrame:
 
 def is_wordy(v: Column) -> Column:
     """A run of two letters, and more letters than digits."""
-    letters = F.length(F.regexp_replace(v, r"[^\p{L}]", ""))
-    digits = F.length(F.regexp_replace(v, r"[^\p{Nd}]", ""))
+    letters = F.length(F.regexp_replace(v, r"[^\p{L}]+", ""))
+    digits = F.length(F.regexp_replace(v, r"[^\p{Nd}]+", ""))
     return v.rlike(r"\p{L}{2}") & (letters > digits)
 
 

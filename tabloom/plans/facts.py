@@ -7,9 +7,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabloom.functions import text as X
 from tabloom.operators import profile as P
 from tabloom.operators import statistics as S
-from tabloom.plans.compile import ROW
+from tabloom.session import Files, scratch
 
 
 @dataclass
@@ -48,14 +49,17 @@ def profile_frame(frame: DataFrame, columns: list[dict]) -> list[ColumnFacts]:
     ids = [c["id"] for c in columns]
     if not ids:
         return []
-    counts = P.value_counts(frame.drop(ROW).withColumn("__all", F.lit(0)), ["__all"], ids).drop("__all").persist()
+    spark, folder = frame.sparkSession, scratch(frame.sparkSession, "counts")
     try:
+        # Written, not cached: a plan that joins the counts with themselves doesn't always find them in the cache and makes them again.
+        P.value_counts(frame.select(F.lit(0).alias("__all"), *ids), ["__all"], ids).drop("__all").withColumn("shape", X.shape("value")).write.parquet(folder)
+        counts = spark.read.parquet(folder)
         base = P.profiles(counts, []).join(S.modal(counts).select("column_id", "distinct_ex_modal"), "column_id", "left")
         base = base.join(S.detector_rates(counts), "column_id", "left").join(S.samples(counts), "column_id", "left").join(P.top_shapes(counts, []), "column_id", "left")
         wordy = counts.where("value IS NOT NULL").groupBy("column_id").agg((F.sum(F.when(S.is_wordy(F.col("value")), F.col("n")).otherwise(0)) / F.sum("n")).alias("text_share"))
         rows = {r["column_id"]: r for r in base.join(wordy, "column_id", "left").drop("buckets").collect()}
     finally:
-        counts.unpersist()
+        Files(spark, folder).delete("")
     out = []
     for c in columns:
         r, known = rows.get(c["id"]), {k: c.get(k) for k in ("id", "index", "header", "label", "group")}

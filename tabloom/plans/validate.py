@@ -33,6 +33,8 @@ class Context:
     onto: Ontology = field(default_factory=default)
     words: R.RoleWords = R.DEFAULT_WORDS
     strengths: dict[tuple[str, str, str], float] = field(default_factory=dict)
+    #: Acceptance by column and type, as far as it was asked; the frame stays the same.
+    shares: dict[tuple[str, str], float] = field(default_factory=dict)
 
     def facts(self, column: str) -> ColumnFacts | None:
         return next((c for c in self.columns if c.id == column), None)
@@ -116,9 +118,11 @@ def refuse_columns(plan: Plan, ctx: Context) -> None:
 def check_bindings(plan: Plan, ctx: Context) -> None:
     """Property known and carried, unit in keeping, values of the type; one job for all acceptance shares."""
     items = {x.key: x for x in (*plan.entities, *plan.edges)}
-    pairs = sorted({(b.column, b.type_name) for b in plan.bindings})
-    numeric = evidence(ctx.frame, plan)
-    shares = {(r["column"], r["type"]): r["share"] for r in S.acceptance(ctx.frame, pairs, numeric, most=0).collect()} if pairs else {}
+    pairs = sorted({(b.column, b.type_name) for b in plan.bindings if b.type_name not in FREE_TYPES and ctx.facts(b.column)} - set(ctx.shares))
+    if pairs:
+        numeric = evidence(ctx.frame, plan) if any(t == "date" for _, t in pairs) else {}
+        ctx.shares |= {(r["column"], r["type"]): r["share"] for r in S.acceptance(ctx.frame, pairs, numeric, most=0).collect()}
+    shares = ctx.shares
     for b in list(plan.bindings):
         item, prop, c = items.get(b.entity), ctx.onto.prop(b.prop), ctx.facts(b.column)
         share = shares.get((b.column, b.type_name), 1.0)

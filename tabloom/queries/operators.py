@@ -355,7 +355,7 @@ def _register(spark: SparkSession, d: str) -> tuple[DataFrame, list[dict]]:
     """All rows of the registers as one frame; they share one layout, whose headers the first source has."""
     rows = table(spark, d, "frame_rows")
     heads = table(spark, d, "sources").where(F.size("column_headers") == 14).agg(F.min_by("column_headers", "source_id").alias("h")).first()["h"]
-    frame = rows.select(F.col("row_id").cast("int").alias("_row"), *[f"c{k}" for k in range(14)])
+    frame = rows.select(F.col("row_id").cast("long").alias("_row"), *[f"c{k}" for k in range(14)])
     return frame, [{"id": f"c{k}", "index": k, "header": h, "label": None, "group": None} for k, h in enumerate(heads)]
 
 

@@ -181,3 +181,38 @@ def test_spelled_properties_holders_and_blocs(spark):
     f = spark.createDataFrame([(1, "a", "x"), (2, "b", None), (3, "b", "y")], "_row long, c0 string, c1 string")
     got = bloc_profiles(f, [{"id": c, "index": k, "header": c, "label": None, "group": None} for k, c in enumerate(("c0", "c1"))], [("c0", "a"), ("c0", "b")])
     assert [got["c0", v][1].fill_rate for v in "ab"] == [1.0, 0.5]
+
+
+def test_each_column_and_type_is_judged_once_and_by_value(spark, monkeypatch):
+    from tabloom.operators import statistics as S
+
+    rows = [(5 * 10**9 + k, f" p{k % 3}@mail.test" if k % 4 else "none@", f"{k % 28 + 1:02d}.03.1960" if k % 5 else None) for k in range(40)] + [(1, "-", "no date")]
+    df = spark.createDataFrame(rows, "_row long, c0 string, c1 string")
+    pairs = [("c0", "email"), ("c0", "name"), ("c1", "date")]
+    few, all_ = ({(r["column"], r["type"]): (r["share"], r["refused"]) for r in S.acceptance(df, pairs, most=m).collect()} for m in (0, 5))
+    assert few == all_ and few[("c0", "email")] == (0.75, 10)
+    asked, plain = [], S.acceptance
+    monkeypatch.setattr(S, "acceptance", lambda frame, pairs, *a, **k: asked.extend(pairs) or plain(frame, pairs, *a, **k))
+    f, facts = built(spark, people())
+    V.validate(V.propose(f.rows, facts), V.Context(f.rows, facts))
+    assert asked and len(asked) == len(set(asked)) and not {t for _, t in asked} & {"name", "string", "text"}
+
+
+def test_detectors_accept_what_their_plain_definitions_do(spark):
+    from pyspark.sql import functions as F
+
+    from tabloom.functions import canonical as C
+    from tabloom.functions import detectors as D
+
+    odd = [None, "", "Аб", "А Б", "Аб Вг", "Аб\u0085 Вг", "Аб Вг\u2028", "А\u0085 Вг", "Аб Вг Дд Ее Єє", "Аб  О’Ж-к", "аб Вг", "м....", "чоловіча.", "UA", "ua", "Україна", "uk", "05.11.1967", "2024-1-2", "٣.11.1967", "1967"]
+    odd += ["00032129", "3184710691", "7707083893", "112-233-445 95", "11223344595x", "500100732259", "(ТОВ) «Аб»", "Аб ltd.", "ltd", "Аб в тов в"]
+    words = lambda v: F.split(v, r"\s+")
+    plain = {
+        "date": lambda v: C.date(v)["value"].isNotNull(), "gender_code": lambda v: C.gender(v)["value"].isNotNull(), "country": lambda v: C.country(v)["value"].isNotNull(),
+        "edrpou": D.edrpou, "rnokpp": D.rnokpp, "inn_ru": D.inn, "snils_ru": D.snils,
+        "proper_name": lambda v: (v != "") & ~v.rlike(r"\p{Nd}") & F.size(words(v)).between(2, 4) & F.forall(words(v), lambda w: (F.length(w) >= 2) & w.rlike(r"^\p{Lu}[\p{L}'’ʼ\-]*$")),
+    }
+    df = spark.createDataFrame([(v,) for v in odd], "v string")
+    for name, old in plain.items():
+        got = df.select("v", F.coalesce(D.DETECTORS[name](F.col("v")), F.lit(False)).alias("new"), F.coalesce(old(F.col("v")), F.lit(False)).alias("old")).collect()
+        assert [r["v"] for r in got if r["new"] != r["old"]] == [], name
