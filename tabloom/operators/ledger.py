@@ -59,7 +59,6 @@ def coverage(frame: DataFrame, rows: DataFrame, plan: Plan, onto: Ontology | Non
     filters = {e.filter.column for e in plan.entities if e.filter}
     decided: dict[str, str] = {d.column: d.verdict for d in plan.decisions}
     columns = [c for c in frame.columns if c != P.ROW]
-    wide = frame.select(P.ROW, *columns) if not plan.bindings else frame.select(P.ROW, *columns).join(rows.select(P.ROW, *[c for c in rows.columns if c.endswith("__is")]), P.ROW)
     sums: list[Column] = []
     for c in columns:
         filled = F.coalesce(X.strip(F.col(c)) != "", F.lit(False))
@@ -78,7 +77,11 @@ def coverage(frame: DataFrame, rows: DataFrame, plan: Plan, onto: Ontology | Non
             sums += [n, none, none, n if declined else none, n if structural else none, none]
     fields = ("values", "offered", "rejected", "declined", "structural", "outside_selection")
     named = [F.coalesce(s.cast("long"), F.lit(0).cast("long")).alias(f"{c}|{f}") for (c, f), s in zip(((c, f) for c in columns for f in fields), sums, strict=True)]
-    totals = wide.agg(*named)
+    # The rows hold each bound column beside its verdict, the frame the others: neither has to find the other's rows.
+    own = [x for k, x in enumerate(named) if columns[k // len(fields)] in bound]
+    rest = [x for k, x in enumerate(named) if columns[k // len(fields)] not in bound]
+    parts = [t.agg(*x) for t, x in ((rows, own), (frame, rest)) if x]
+    totals = reduce(lambda a, b: a.crossJoin(b), parts)  # one row each
 
     def status(c: str) -> tuple[str, str | None]:
         if c in bound:
